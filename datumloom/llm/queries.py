@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from datumloom.llm import sharding
+from datumloom.llm import compression, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -76,3 +76,9 @@ def op1_shard_interleave(spark: SparkSession, sf_dir: str) -> DataFrame:
         "slot",
         F.lit(None).cast("int").alias("grown_shard"),
     )
+
+
+@query("op2_compression_bands")
+def op2_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts and the compression verdict of every document."""
+    return compression.compression_bands(table(spark, sf_dir, "documents"))
