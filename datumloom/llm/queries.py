@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from datumloom.llm import compression, sharding
+from datumloom.llm import compression, pairwise_quality, sharding, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -82,3 +82,15 @@ def op1_shard_interleave(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts and the compression verdict of every document."""
     return compression.compression_bands(table(spark, sf_dir, "documents"))
+
+
+@query("op3_toxicity_ordinal")
+def op3_toxicity_ordinal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Severity grades of every document, learned from ``labels.toxic``."""
+    return toxicity.toxicity_grades(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op8_quality_pairwise")
+def op8_quality_pairwise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of every document, learned from ``labels.quality``."""
+    return pairwise_quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
