@@ -3,16 +3,19 @@
 A document's severity grade is 0 (not toxic) to 3. With one weight vector w for
 all grades and ordered thresholds t1 < t2 < t3, the chance of a grade of at least k
 is the logistic function of w . x - t_k, and the expected severity is the sum of
-these chances over k. x is sparse: 1 + log(count) for words of a learned vocabulary.
+these chances over k. x is sparse: 1 + log(count) for the words and word beginnings
+of a learned vocabulary. Beginnings (4 to 7 letters) carry over to inflected forms
+that no training document has.
 
 The labels only say toxic or not, so the training grades of toxic documents are
-made: a document's load is its number of occurrences of the words that most set
-toxic documents apart, and terciles of the load split those with any into grades 1
-to 3. A document labelled toxic without any such word has grade 1.
+made: a document's load is its number of words that have a feature which sets toxic
+documents apart, and terciles of the load split those with any into grades 1 to 3. A
+document labelled toxic without any such word has grade 1.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -28,16 +31,31 @@ from datumloom.llm.labelled import labelled_sample
 from datumloom.llm.pairwise_quality import descend
 
 GRADES = 3
+PREFIXES = (4, 5, 6, 7)
 WORD = re.compile(r"[^\W\d_]+")
 #: The same words in Spark's regular expressions.
 SPLIT = r"[^\p{L}\p{M}]+"
 
 
+def parts(word: str) -> list[str]:
+    """The features of a word: itself, marked by its end, and its beginnings."""
+    return [f"{word}$", *(word[:n] for n in PREFIXES if len(word) > n)]
+
+
 def sparse_features(text: str, vocabulary: dict[str, int]) -> tuple[list[int], list[float]]:
-    """Indices and values of the vocabulary's words in a whole text."""
+    """Indices and values of the vocabulary's entries in a whole text."""
     get = vocabulary.get
-    found = Counter(i for w in WORD.findall(text.lower()) if (i := get(w)) is not None)
-    return list(found), [1 + np.log(n) for n in found.values()]
+    found: Counter[int] = Counter()
+    for word, n in Counter(WORD.findall(text.lower())).items():
+        for part in parts(word):
+            if (i := get(part)) is not None:
+                found[i] += n
+    return list(found), [1 + math.log(n) for n in found.values()]
+
+
+def load(text: str, marks: frozenset[str]) -> int:
+    """How many words of a text have one of the features ``marks``."""
+    return sum(n for word, n in Counter(WORD.findall(text.lower())).items() if not marks.isdisjoint(parts(word)))
 
 
 @dataclass(frozen=True)
@@ -65,7 +83,6 @@ def fit_ordinal(rows: list[list[int]], values: list[list[float]], grades: np.nda
     word = np.array([i for r in rows for i in r], dtype=int)
     value = np.array([v for r in values for v in r], dtype=float)
     n = len(rows)
-    reached = grades[:, None] >= np.arange(1, GRADES + 1)[None, :]
 
     def unpack(p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return p[:size], p[size] + np.concatenate([[0.0], np.cumsum(np.exp(p[size + 1 :]))])
@@ -88,13 +105,15 @@ def fit_ordinal(rows: list[list[int]], values: list[list[float]], grades: np.nda
         out[size + 1 :] = np.cumsum(t_grad[::-1])[::-1][1:] * np.exp(p[size + 1 :])
         return out
 
-    assert reached.shape[1] == GRADES
     return unpack(descend(gradient, size + GRADES, steps, 0.1))
 
 
 def vocabulary_of(sample: DataFrame, n_docs: int, n_toxic: int, max_words: int, min_docs: int) -> dict[str, float]:
-    """The words whose share among toxic documents differs most from chance, with their z-scores."""
-    words = sample.select("label", F.explode(F.array_distinct(F.split(F.lower("text"), SPLIT))).alias("word")).where("word <> ''")
+    """The words and beginnings whose share among toxic documents differs most from chance, with their z-scores."""
+    words = F.filter(F.array_distinct(F.split(F.lower("text"), SPLIT)), lambda w: w != "")
+    begun = [F.transform(F.filter(words, lambda w, n=n: F.length(w) > n), lambda w, n=n: F.substring(w, 1, n)) for n in PREFIXES]
+    entries = F.array_distinct(F.concat(F.transform(words, lambda w: F.concat(w, F.lit("$"))), *begun))
+    words = sample.select("label", F.explode(entries).alias("word"))
     share = n_toxic / n_docs
     counts = words.groupBy("word").agg(F.count("*").alias("n"), F.sum("label").alias("toxic")).where(F.col("n") >= min_docs)
     z = (F.col("toxic") - F.col("n") * share) / F.sqrt(F.col("n") * share * (1 - share))
@@ -105,10 +124,10 @@ def vocabulary_of(sample: DataFrame, n_docs: int, n_toxic: int, max_words: int,
 def fit(
     docs: DataFrame,
     labels: DataFrame,
-    max_rows: int = 20_000,
+    max_rows: int = 8_000,
     max_words: int = 2_000,
     min_docs: int = 5,
-    cut: float = 0.5,
+    cut: float = 0.4,
     id_col: str = "doc_id",
     text_col: str = "text",
     label_col: str = "toxic",
@@ -131,24 +150,31 @@ def fit(
     if not z:
         return nothing
     vocabulary = {w: i for i, w in enumerate(z)}
-    # A word marks toxic documents if it occurs in them far beyond chance, in the sample's terms.
-    marks = {vocabulary[w] for w, v in z.items() if v >= 0.5 * max(z.values()) and v >= 4}
+    # An entry marks toxic documents if it is far more frequent there than chance allows.
+    marks = frozenset(w for w, v in z.items() if v >= max(4, 0.3 * max(z.values())))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [sparse_features(t, vocabulary) for t in batch.column(0).to_pylist()]
+            texts = batch.column(0).to_pylist()
+            found = [sparse_features(t, vocabulary) for t in texts]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(1), batch.column(2), pa.array([f[0] for f in found], pa.list_(pa.int32())), pa.array([f[1] for f in found], pa.list_(pa.float64()))],
-                names=["key", "label", "words", "values"],
+                [
+                    batch.column(1),
+                    batch.column(2),
+                    pa.array([f[0] for f in found], pa.list_(pa.int32())),
+                    pa.array([f[1] for f in found], pa.list_(pa.float64())),
+                    pa.array([load(t, marks) for t in texts], pa.int64()),
+                ],
+                names=["key", "label", "words", "values", "load"],
             )
 
-    rows = sample.select("text", F.xxhash64("text").alias("key"), "label").mapInArrow(count, "key long, label int, words array<int>, values array<double>").toArrow().sort_by("key")
+    rows = sample.select("text", F.xxhash64("text").alias("key"), "label").mapInArrow(count, "key long, label int, words array<int>, values array<double>, load long").toArrow().sort_by("key")
     words, values = rows.column("words").to_pylist(), rows.column("values").to_pylist()
     toxic = np.array(rows.column("label").to_pylist(), dtype=int)
-    load = np.array([sum(np.exp(v - 1) for i, v in zip(w, x) if i in marks) for w, x in zip(words, values)])
-    some = load[(toxic == 1) & (load > 0)]
+    loads = np.array(rows.column("load").to_pylist(), dtype=int)
+    some = loads[(toxic == 1) & (loads > 0)]
     cuts = np.quantile(some, [1 / 3, 2 / 3]) if len(some) else np.array([np.inf, np.inf])
-    grades = np.where(toxic == 1, 1 + (load > cuts[0]) + (load > cuts[1]), 0)
+    grades = np.where(toxic == 1, 1 + (loads > cuts[0]) + (loads > cuts[1]), 0)
     weights, thresholds = fit_ordinal(words, values, grades, len(vocabulary))
     return Model(vocabulary, weights, thresholds, cut)
 
@@ -182,6 +208,6 @@ def grade(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     return graded.select(*dict.fromkeys((id_col, *carry)), *made)
 
 
-def toxicity_grades(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000) -> DataFrame:
+def toxicity_grades(docs: DataFrame, labels: DataFrame, max_rows: int = 8_000) -> DataFrame:
     """Fit on a bounded sample of the labelled documents, then grade all of them."""
     return grade(docs, fit(docs, labels, max_rows))
