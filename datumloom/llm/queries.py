@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from datumloom.llm import compression, pairwise_quality, sharding, toxicity
+from datumloom.llm import compression, pairwise_quality, records, sharding, toxicity
+from datumloom.llm.common import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -94,3 +95,11 @@ def op3_toxicity_ordinal(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_quality_pairwise(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality scores of every document, learned from ``labels.quality``."""
     return pairwise_quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op5_token_records")
+def op5_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents' token ids, written as framed records and read back: doc_id, start, n_tokens, ids_crc32."""
+    folder = shared_folder(spark, "records")
+    records.write_records(table(spark, sf_dir, "documents"), folder)
+    return records.digests(records.read_records(spark, folder))
