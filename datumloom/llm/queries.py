@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from datumloom.llm import compression, pairwise_quality, records, sharding, toxicity
+from datumloom.llm import compression, packing, pairwise_quality, records, sharding, toxicity
 from datumloom.llm.common import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -103,3 +103,9 @@ def op5_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = shared_folder(spark, "records")
     records.write_records(table(spark, sf_dir, "documents"), folder)
     return records.digests(records.read_records(spark, folder))
+
+
+@query("op6_pack_differencing")
+def op6_pack_differencing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents' pieces in windows of 2048 tokens: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
+    return packing.pack_documents(table(spark, sf_dir, "documents"))
