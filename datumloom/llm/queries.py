@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from datumloom.llm import compression, near_dedup, packing, pairwise_quality, records, sharding, toxicity
+from datumloom.llm import compression, graph_search, near_dedup, packing, pairwise_quality, records, sharding, toxicity
 from datumloom.llm.common import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -137,3 +137,9 @@ FROM reach r LEFT JOIN n ON n.doc_id = r.doc_id GROUP BY r.doc_id""",
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose 2-word shingle sets are 80 % alike: doc_id, n_shingles, component_id, kept."""
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), k=2, percent=80)
+
+
+@query("op10_graph_search")
+def op10_graph_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each hundredth vector's ten nearest among all others: query_id, rank, vec_id, score."""
+    return graph_search.nearest(table(spark, sf_dir, "embeddings"))
