@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from datumloom.llm import compression, graph_search, near_dedup, packing, pairwise_quality, records, sharding, toxicity
+from datumloom.llm import compression, graph_search, license_scan, near_dedup, packing, pairwise_quality, records, sharding, toxicity
 from datumloom.llm.common import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -143,3 +143,9 @@ def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_graph_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each hundredth vector's ten nearest among all others: query_id, rank, vec_id, score."""
     return graph_search.nearest(table(spark, sf_dir, "embeddings"))
+
+
+@query("op4_license_scan")
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence texts in all documents, with coverage and spans."""
+    return license_scan.license_matches(table(spark, sf_dir, "documents"))
