@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from datumloom.llm import compression, graph_search, license_scan, near_dedup, packing, pairwise_quality, records, sharding, toxicity
+from datumloom.llm import compression, graph_search, license_scan, near_dedup, packing, pairwise_quality, records, sharding, suffix_pieces, toxicity
 from datumloom.llm.common import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -149,3 +149,9 @@ def op10_graph_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licence texts in all documents, with coverage and spans."""
     return license_scan.license_matches(table(spark, sf_dir, "documents"))
+
+
+@query("op7_suffix_pieces")
+def op7_suffix_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's SentencePiece ids and their decoding: doc_id, n_tokens, ids_crc32, decoded_crc32."""
+    return suffix_pieces.digests(suffix_pieces.encode(table(spark, sf_dir, "documents")))
