@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from datumloom.llm.common import cut_lineage, pick
+from datumloom.llm.common import cut_lineage, pick, slices
 from datumloom.llm.tokens import WordEncoder, tokenizer_path
 
 #: Windows in a block, about, and rows in it at most, about.
@@ -111,7 +111,7 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = 2048, end_i
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = WordEncoder.of(path)
-        for batch in batches:
+        for batch in slices(batches):
             out = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 ids = encoder.encode(text or "") + end

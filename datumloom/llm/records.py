@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
-from datumloom.llm.common import pick
+from datumloom.llm.common import pick, slices
 from datumloom.llm.tokens import WordEncoder, tokenizer_path
 
 MASK = 0xA282EAD8
@@ -203,7 +203,7 @@ class TokenRecordWriter(DataSourceArrowWriter):
         system, root = filesystem(self.path)
         system.create_dir(root, recursive=True)
         with system.open_output_stream(f"{root}/{done.name}.rec") as data, system.open_output_stream(f"{root}/{done.name}.idx") as index:
-            for batch in iterator:
+            for batch in slices(iterator):
                 doc_ids = batch.column("doc_id").to_pylist()
                 tokens = [np.frombuffer(b, dtype="<u4") for b in batch.column("ids").to_pylist()]
                 kind = "<u2" if self.width == 2 else "<u4"
@@ -314,7 +314,7 @@ def tokenize(docs: DataFrame, path: str | None = None, end_id: int = 1, id_col:
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = WordEncoder.of(path)
-        for batch in batches:
+        for batch in slices(batches):
             ids = [encoder.encode(t or "") + end for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
 
@@ -331,14 +331,15 @@ def write_records(docs: DataFrame, folder: str, path: str | None = None, width:
 
     - A null text is an empty document: the end id alone.
     - Documents with a null id come first and keep their null id.
-    - Repeated ids are written as often as they occur, by the order of their texts.
+    - Repeated ids are written as often as they occur, in the order of a hash of their texts.
     - Extra columns are ignored. An empty table gives a manifest without files.
     """
     spark = docs.sparkSession
     spark.dataSource.register(TokenRecords)
     rows = pick(docs, "doc_id", "text")
-    ranged = rows.repartitionByRange(n_files, "doc_id", "text") if n_files else rows.repartitionByRange("doc_id", "text")
-    tokenize(ranged.sortWithinPartitions("doc_id", "text"), path).write.format("token_records").option("width", width).mode("append").save(folder)
+    keys = [F.col("doc_id"), F.xxhash64("text")]  # hashes, since sampled range keys go to the driver
+    ranged = rows.repartitionByRange(n_files, *keys) if n_files else rows.repartitionByRange(*keys)
+    tokenize(ranged.sortWithinPartitions(*keys), path).write.format("token_records").option("width", width).mode("append").save(folder)
 
 
 def read_records(spark: SparkSession, folder: str) -> DataFrame:

@@ -7,9 +7,12 @@ its words' ids in order: the same ids as encoding the text, for far less work.
 
 from __future__ import annotations
 
+import json
 import os
+import unicodedata
 
 import numpy as np
+import regex
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -19,18 +22,60 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def byte_characters() -> dict[int, str]:
+    """The visible character that stands for each byte in a byte-level vocabulary, by its rule.
+
+    Printable bytes stand for themselves, the others for the characters from 256 on.
+    """
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in printable]
+    return {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
+def split_pattern(config: dict) -> regex.Pattern | None:
+    """The pattern of a tokenizer's word parts, if it lower-cases, drops white space and maps bytes; else None."""
+    steps, parts = (config.get("normalizer") or {}).get("normalizers", []), (config.get("pre_tokenizer") or {}).get("pretokenizers", [])
+    if [s["type"] for s in steps] != ["NFC", "Replace", "Lowercase"] or [p["type"] for p in parts] != ["Split", "ByteLevel"]:
+        return None
+    split, to_bytes = parts
+    if steps[1] | {"type": "Replace"} != {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "} or to_bytes["add_prefix_space"] or to_bytes["use_regex"]:
+        return None
+    if split["behavior"] != "Removed" or not split["invert"]:
+        return None
+    # The library's \s is Unicode's White_Space; in Python's expressions \s has more.
+    return regex.compile(split["pattern"]["Regex"].replace("\\s", "\\p{White_Space}"))
+
+
+def is_plain(text: str) -> bool:
+    """No capital sigma, and no character that this Python's Unicode doesn't know (the library's may be newer)."""
+    return max(text) < "\u0250" or not any(c == "\u03a3" or unicodedata.category(c) == "Cn" for c in text)
+
+
 class WordEncoder:
-    """Ids of whole texts; a bounded memory of words' ids, kept while the process lives."""
+    """Ids of whole texts; bounded memories of words' and word parts' ids, kept while the process lives.
+
+    Most of the library's time for a word goes into tracking offsets through its
+    normalizer. For the kind of tokenizer that ``split_pattern`` knows, a new word is
+    therefore normalized and split here, and the library's model encodes each distinct
+    part once. Other tokenizers, and words with a special token, a capital sigma (whose
+    lower case depends on its place in Python) or an unknown character, go through the
+    whole library.
+    """
 
     _kept: dict[str, WordEncoder] = {}
 
-    def __init__(self, path: str, max_words: int = 400_000):
+    def __init__(self, path: str, max_words: int = 300_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        config = json.loads(self.tokenizer.to_str())
+        self.pattern = split_pattern(config)
+        self.special = tuple(t["content"] for t in config["added_tokens"])
+        self.characters = byte_characters()
         self.max_words = max_words
         self.ids: dict[bytes, bytes] = {}
+        self.part_ids: dict[str, bytes] = {}
 
     @classmethod
     def of(cls, path: str) -> WordEncoder:
@@ -39,10 +84,33 @@ class WordEncoder:
             cls._kept[path] = cls(path)
         return cls._kept[path]
 
+    def learn_part(self, part: str) -> bytes:
+        written = part if part.isascii() and part.isprintable() else "".join(map(self.characters.__getitem__, part.encode()))
+        if len(self.part_ids) >= self.max_words:
+            self.part_ids.clear()
+        found = self.part_ids[part] = np.array([t.id for t in self.tokenizer.model.tokenize(written)], dtype="<u4").tobytes()
+        return found
+
+    def encode_words(self, words: list[bytes]) -> list[bytes]:
+        """The ids of new words."""
+        out: list[bytes | None] = []
+        get = self.part_ids.get
+        for word in words:
+            text = word.decode()
+            if self.pattern is None or not (text.isascii() or is_plain(text)) or ("<" in text and any(s in text for s in self.special)):
+                out.append(None)
+                continue
+            parts = self.pattern.findall(text.lower() if text.isascii() else unicodedata.normalize("NFC", text).lower())
+            out.append(b"".join([get(p) or self.learn_part(p) for p in parts]))
+        rest = [i for i, ids in enumerate(out) if ids is None]
+        for i, found in zip(rest, self.tokenizer.encode_batch_fast([words[i].decode() for i in rest], add_special_tokens=False)):
+            out[i] = np.array(found.ids, dtype="<u4").tobytes()
+        return out
+
     def encode(self, text: str) -> bytes:
         """The text's ids as little-endian unsigned 32-bit integers."""
-        # For bytes, split() cuts at space, \\t, \\n, \\v, \\f and \\r alone.
-        # What other white space there is stays within a word and is the library's to handle.
+        # For bytes, split() cuts at space, \t, \n, \v, \f and \r alone.
+        # What other white space there is stays within a word, and no token crosses it.
         words = text.encode().split()
         ids = self.ids
         new = list({w for w in words if w not in ids})
@@ -50,8 +118,5 @@ class WordEncoder:
             if len(ids) + len(new) > self.max_words:
                 ids.clear()
                 new = list(set(words))
-            for start in range(0, len(new), 10_000):
-                some = new[start : start + 10_000]
-                for word, found in zip(some, self.tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False)):
-                    ids[word] = np.array(found.ids, dtype="<u4").tobytes()
+            ids.update(zip(new, self.encode_words(new)))
         return b"".join([ids[w] for w in words])
