@@ -164,14 +164,21 @@ def scan(ids: np.ndarray, index: Index, least_coverage: float, band: int = BAND)
                 groups[-1].append(anchor)
             else:
                 groups.append([anchor])
-        for group in groups:
+        # A region may hold the licence again beside what is found in it: both sides are searched too.
+        regions = [(group, 0, len(ids)) for group in groups]
+        while regions:
+            group, least, most = regions.pop()
             low, high = group[0][0], group[-1][0]
             wide = band + (high - low + 1) // 2
-            start, end = max(0, low - wide), min(len(ids), high + len(sequence) + wide)
-            if result := align(sequence, ids[start:end], start, (low + high) // 2, wide):
+            start, end = max(least, low - wide), min(most, high + len(sequence) + wide)
+            result = align(sequence, ids[start:end], start, (low + high) // 2, wide)
+            if result:
                 matched, first, last = result
                 if matched >= least_coverage * len(sequence):
                     found.append(Match(template, matched, matched / len(sequence), first, last))
+                left = [a for a in group if a[1] < first]
+                right = [a for a in group if a[1] > last]
+                regions.extend(x for x in ((left, least, first), (right, last + 1, most)) if x[0])
     kept: list[Match] = []
     for m in sorted(found, key=lambda m: (-m.matched, -m.coverage, m.first_word, m.template)):
         if all(m.last_word < k.first_word or m.first_word > k.last_word for k in kept):
