@@ -1,6 +1,6 @@
 """Importing this module registers every query of the library."""
 
-from datumloom.operators import assess, relational
+from datumloom.operators import assess, compare, discover, generate, perturb, privacy, profile, relational, split
 from datumloom.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "assess", "relational"]
+__all__ = ["ORACLES", "QUERIES", "assess", "compare", "discover", "generate", "perturb", "privacy", "profile", "relational", "split"]
