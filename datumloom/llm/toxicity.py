@@ -111,23 +111,41 @@ def fit_ordinal(rows: list[list[int]], values: list[list[float]], grades: np.nda
 def vocabulary_of(sample: DataFrame, n_docs: int, n_toxic: int, max_words: int, min_docs: int) -> dict[str, float]:
     """The words and beginnings whose share among toxic documents differs most from chance, with their z-scores."""
     words = F.filter(F.array_distinct(F.split(F.lower("text"), SPLIT)), lambda w: w != "")
-    begun = [F.transform(F.filter(words, lambda w, n=n: F.length(w) > n), lambda w, n=n: F.substring(w, 1, n)) for n in PREFIXES]
+
+    def begun_by(n: int):  # a second parameter of these lambdas would be the element's place
+        return F.transform(F.filter(words, lambda w: F.length(w) > n), lambda w: F.substring(w, 1, n))
+
+    begun = [begun_by(n) for n in PREFIXES]
     entries = F.array_distinct(F.concat(F.transform(words, lambda w: F.concat(w, F.lit("$"))), *begun))
     words = sample.select("label", F.explode(entries).alias("word"))
     share = n_toxic / n_docs
     counts = words.groupBy("word").agg(F.count("*").alias("n"), F.sum("label").alias("toxic")).where(F.col("n") >= min_docs)
     z = (F.col("toxic") - F.col("n") * share) / F.sqrt(F.col("n") * share * (1 - share))
-    found = counts.select("word", z.alias("z")).orderBy(F.abs("z").desc(), "word").limit(max_words)
-    return {r["word"]: r["z"] for r in found.collect()}
+    found = counts.select("word", z.alias("z"), (F.col("toxic") / F.col("n")).alias("pure")).orderBy(F.abs("z").desc(), "word").limit(max_words)
+    return most_general({r["word"]: (r["z"], r["pure"]) for r in found.collect()})
+
+
+def most_general(entries: dict[str, tuple[float, float]], slack: float = 0.02) -> dict[str, float]:
+    """The entries without those of which a beginning is in as well, points the same way and is as pure.
+
+    Otherwise a stem's weight is spread over its many forms, and a new form gets little of it.
+    """
+    out: dict[str, float] = {}
+    for entry in sorted(entries, key=lambda e: (len(e), e)):
+        z, pure = entries[entry]
+        beginnings = (out.get(entry[:n]) is not None and entries[entry[:n]] for n in PREFIXES if n < len(entry))
+        if not any(b and b[0] * z > 0 and (b[1] >= pure - slack if z > 0 else b[1] <= pure + slack) for b in beginnings):
+            out[entry] = z
+    return out
 
 
 def fit(
     docs: DataFrame,
     labels: DataFrame,
     max_rows: int = 8_000,
-    max_words: int = 2_000,
+    max_words: int = 4_000,
     min_docs: int = 5,
-    cut: float = 0.4,
+    cut: float = 0.3,
     id_col: str = "doc_id",
     text_col: str = "text",
     label_col: str = "toxic",

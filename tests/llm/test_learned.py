@@ -62,7 +62,7 @@ def test_toxicity_on_held_out_documents(many):
     assert all(0 <= r.expected_severity <= 3 and r.kept == (r.toxic == 0) for r in rows)
     held = [(r.toxic, truth[r.doc_id]) for r in rows if out(r.doc_id) and r.doc_id in truth]
     assert np.mean([t for t, y in held if y == 0]) < 0.01
-    assert np.mean([t for t, y in held if y == 1]) > 0.75
+    assert np.mean([t for t, y in held if y == 1]) > 0.9
 
 
 def test_ordinal_fit_shares_weights_and_orders_thresholds():
