@@ -1,8 +1,8 @@
 """Importing this module registers every query of the library."""
 
-from datumloom.operators import assess, compare, discover, generate, perturb, privacy, profile, relational, split
+from datumloom.operators import assess, compare, discover, generate, pack, perturb, privacy, profile, relational, split
 from datumloom.registry import ORACLES, QUERIES
 from datumloom.sources import dumps
 from datumloom.streaming import simulate, windows
 
-__all__ = ["ORACLES", "QUERIES", "assess", "compare", "discover", "dumps", "generate", "perturb", "privacy", "profile", "relational", "simulate", "split", "windows"]
+__all__ = ["ORACLES", "QUERIES", "assess", "compare", "discover", "dumps", "generate", "pack", "perturb", "privacy", "profile", "relational", "simulate", "split", "windows"]

@@ -144,3 +144,29 @@ def test_the_entry_module_without_the_optional_package():
 
     code = "import sys; sys.modules['corpus_pipeline'] = None\nimport __spark_entry__ as e; assert 'fk_integrity' in e.queries() and not [n for n in e.queries() if n.startswith('op')]"
     subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).resolve().parent.parent, check=True)
+
+
+def test_pack_layouts_say_the_same():
+    from datumloom.operators import pack
+
+    named = pack.normalize({"tables": {"a": {"columns": {"id": {"strategy": "uuid"}}}, "b": {"columns": {"a_id": {"foreignKey": {"table": "a", "column": "id"}}}}}})
+    listed = pack.normalize({"schema": {"tables": [{"name": "a", "columns": [{"name": "id", "strategy": "uuid"}]}, {"name": "b", "columns": [{"name": "a_id", "foreignKey": {"table": "a", "column": "id"}}]}]}})
+    studio = pack.normalize({"tables": [{"id": "1", "name": "a", "columns": [{"id": "c1", "name": "id", "strategy": "uuid"}]}, {"id": "2", "name": "b", "columns": [{"id": "c2", "name": "a_id", "isFK": True, "fkTarget": {"tableId": "1", "columnId": "c1"}}]}]})
+    for tables in (named, listed, studio):
+        assert [t["name"] for t in tables] == ["a", "b"]
+        assert tables[1]["columns"]["a_id"]["foreignKey"] == {"table": "a", "column": "id"}
+
+
+def test_pack_tables_agree_with_their_parents(spark):
+    from datumloom.operators import pack
+
+    tables = pack.bank(900).all(spark)
+    customers = {r.id: r for r in tables["customers"].collect()}
+    assert len(customers) == tables["customers"].count()
+    for r in tables["accounts"].collect():
+        assert r.country == customers[r.customer_id].country
+        assert (r.closed_on is None) == (r.status == "open") and (r.closed_on is None or r.closed_on > r.opened_on)
+    teams = [r.asDict() for r in tables["teams"].collect()]
+    ids = [t["id"] for t in teams]
+    assert all(t["parent_id"] is None or ids.index(t["parent_id"]) < i for i, t in enumerate(teams))
+    assert tables["accounts"].select(checks.iban_valid(F.col("iban")).alias("ok")).where("not ok").isEmpty()
