@@ -8,11 +8,12 @@ copies from its parent is computed from that row number again.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from datumloom.functions import checks, numbers
 from datumloom.functions.numbers import places, places_sql, uniform, uniform_sql
+from datumloom.operators.split import ranked
 from datumloom.plans.schema import growth
 from datumloom.registry import query
 
@@ -192,9 +193,10 @@ RHO = 0.6
 def rank_correlation(spark, sf_dir):
     """y drawn towards the y whose rank equals the rank of x."""
     df = rows(spark).select("id", places(numbers.normal(u("rc", "x", 0), u("rc", "x", 1)), 6).alias("x"), places(u("rc", "y"), 6).alias("y"))
-    a = df.withColumn("rank", F.row_number().over(Window.orderBy("x", "id")))  # of a generated table of fixed size
-    b = df.select(F.col("y").alias("other"), F.row_number().over(Window.orderBy("y", "id")).alias("rank"))
-    return a.join(b, "rank").select("id", "x", places(RHO * F.col("other") + (1 - RHO) * F.col("y"), 6).alias("y"))
+    # Ranks by ranges of the values, so no task sorts a whole column.
+    a = ranked(df, F.struct("x", "id"), F.floor(F.col("x") * 8))
+    b = ranked(df.select("id", "y"), F.struct("y", "id"), F.floor(F.col("y") * 64)).select(F.col("y").alias("other"), "_rank")
+    return a.join(b, "_rank").select("id", "x", places(RHO * F.col("other") + (1 - RHO) * F.col("y"), 6).alias("y"))
 
 
 @query("correlated_noise", f"SELECT id, x, {places_sql(f'greatest(0, least(1, {RHO}::DOUBLE * x + {1 - RHO}::DOUBLE * ({usql("cn", "noise")} - 0.5) * 2))', 6)} AS y FROM (SELECT id, {usql('cn', 'x')} AS x FROM {R}) t")

@@ -68,15 +68,16 @@ STATEMENTS: dict[str, tuple[str, str]] = {
         """SELECT event_id, row_number() OVER w AS nth, ntile(4) OVER w AS quarter, first_value(event_type) OVER w AS first_type,
         max(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 3 PRECEDING AND CURRENT ROW) AS recent_max FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)""",
     ),
+    # Places are numbered after the limit, so that no task sees the whole table.
     "case_order": (
         "orders",
-        """SELECT o_orderkey, o_orderpriority, row_number() OVER (ORDER BY CASE o_orderstatus WHEN 'O' THEN 0 WHEN 'P' THEN 1 ELSE 2 END, o_totalprice DESC, o_orderkey) AS place
-        FROM orders ORDER BY place LIMIT 100""",
+        """SELECT o_orderkey, o_orderpriority, row_number() OVER (ORDER BY state, o_totalprice DESC, o_orderkey) AS place FROM
+        (SELECT o_orderkey, o_orderpriority, o_totalprice, CASE o_orderstatus WHEN 'O' THEN 0 WHEN 'P' THEN 1 ELSE 2 END AS state FROM orders ORDER BY state, o_totalprice DESC, o_orderkey LIMIT 100) t""",
     ),
     "nulls_last": (
         "customer",
         """SELECT c_custkey, balance, row_number() OVER (ORDER BY balance DESC NULLS LAST, c_custkey) AS place FROM
-        (SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN NULL ELSE c_acctbal END AS balance FROM customer) t""",
+        (SELECT c_custkey, CASE WHEN c_acctbal < 9000 THEN NULL ELSE c_acctbal END AS balance FROM customer ORDER BY balance DESC NULLS LAST, c_custkey LIMIT 500) t""",
     ),
     "topk_offset": ("part", "SELECT p_partkey, p_retailprice FROM part ORDER BY p_retailprice DESC, p_partkey LIMIT 20 OFFSET 10"),
     "histogram10": (
