@@ -150,18 +150,6 @@ def correlation_stability(spark, sf_dir):
     return metric(each.agg(F.count_if(F.abs("r") < 0.99).alias("passed"), F.count("*").alias("checked")), "correlation_stability", "fidelity")
 
 
-def references(child: DataFrame, column: str, parent: DataFrame, key: str) -> DataFrame:
-    """passed and checked: non-null references, and those that have a parent.
-
-    References are counted by value first, so the join's large side is at most one row
-    for each referenced parent, however often a hot parent is referenced.
-    """
-    counts = child.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("k")).agg(F.count("*").alias("n"))
-    keys = parent.select(F.col(key).alias("k"), F.lit(1).alias("there")).distinct()
-    joined = counts.join(keys, "k", "left")
-    return joined.agg(F.coalesce(F.sum(F.when(F.col("there") == 1, F.col("n"))), F.lit(0)).alias("passed"), F.coalesce(F.sum("n"), F.lit(0)).alias("checked"))
-
-
 def references_sql(child: str, column: str, parent: str, key: str) -> str:
     return f"SELECT count(*) FILTER (WHERE {column} IN (SELECT {key} FROM {parent})) AS passed, count(*) AS checked FROM {child} WHERE {column} IS NOT NULL"
 
@@ -172,19 +160,26 @@ _FK_ROWS = " UNION ALL ".join(
 
 
 def reference_rows(spark, sf_dir, keep: float = 1.0) -> DataFrame:
-    """One row for each reference of the star schema; ``keep`` < 1 leaves out parents by hash, to show violations."""
-    rows = []
-    for child, column, parent, key in star.FOREIGN_KEYS:
-        parents = table(spark, sf_dir, parent)
-        if keep < 1:
-            parents = parents.where(uniform(5, parent, key, F.col(key)) < keep)
-        found = references(table(spark, sf_dir, child), column, parents, key)
-        rows.append(
-            found.select(
-                F.lit(child).alias("child_table"), F.lit(column).alias("child_column"), F.lit(parent).alias("parent_table"), F.col("checked").alias("total_refs"), F.col("passed").alias("valid_refs"), score(F.col("passed"), F.col("checked")).alias("pct")
-            )
-        )
-    return union(rows)
+    """One row for each reference of the star schema; ``keep`` < 1 leaves out parents by hash, to show violations.
+
+    Each child table is scanned once for all its references. References are counted by
+    value before they meet their parents, so the join has at most one row for each
+    referenced value, however often a hot parent is referenced.
+    """
+    numbered = list(enumerate(star.FOREIGN_KEYS))
+    children, parents = [], []
+    for child in dict.fromkeys(c for _, (c, *_) in numbered):
+        own = [f"{i}, CAST({column} AS BIGINT)" for i, (c, column, _, _) in numbered if c == child]
+        children.append(table(spark, sf_dir, child).select(F.expr(f"stack({len(own)}, {', '.join(own)}) AS (fk, k)")))
+    for i, (_, _, parent, key) in numbered:
+        keys = table(spark, sf_dir, parent).select(F.lit(i).alias("fk"), F.col(key).cast("long").alias("k"))
+        parents.append(keys.where(uniform(5, parent, key, F.col("k")) < keep) if keep < 1 else keys)
+    counts = union(children).where("k IS NOT NULL").groupBy("fk", "k").agg(F.count("*").alias("n"))
+    there = union(parents).distinct().withColumn("there", F.lit(True))
+    sums = counts.join(there, ["fk", "k"], "left").groupBy("fk").agg(F.sum("n").alias("total"), F.sum(F.when(F.col("there"), F.col("n")).otherwise(0)).alias("valid"))
+    named = spark.createDataFrame([(i, c, cc, p) for i, (c, cc, p, _) in numbered], "fk int, child_table string, child_column string, parent_table string")
+    total, valid = F.coalesce("total", F.lit(0)), F.coalesce("valid", F.lit(0))
+    return named.join(sums, "fk", "left").select("child_table", "child_column", "parent_table", total.alias("total_refs"), valid.alias("valid_refs"), score(valid, total).alias("pct"))
 
 
 @query("fk_integrity", _FK_ROWS)
