@@ -29,7 +29,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     mark = None
     while True:
         both = current.union(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _least(both, "u", "v").where("v > u").select(F.col("v").alias("u"), F.col("least").alias("v")).distinct()
+        large = _least(both, "u", "v").where("v > u").select(F.col("v").alias("u"), F.col("least").alias("v"))
         held = _least(large, "u", "v")
         small = held.select(F.col("v").alias("u"), F.col("least").alias("v")).union(held.select("u", F.col("least").alias("v"))).where("u > v").distinct()
         current = cut_lineage(small, "edges")

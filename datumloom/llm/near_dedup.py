@@ -40,6 +40,7 @@ BATCH = 32
 STAR_FROM = 128
 #: Shingles in a block of a cluster, about.
 BLOCK_SHINGLES = 100_000
+SALTS = 32
 #: Ids of documents with candidates are broadcast up to this number (16 bytes each), else joined by shuffling.
 BROADCAST_IDS = 1_000_000
 
@@ -273,12 +274,17 @@ def links_across(rows: DataFrame, bounds: list[tuple[int, int]], percent: int) -
 
 
 def in_blocks(clusters: DataFrame) -> DataFrame:
-    """Each document of an unsettled cluster once for every pair of blocks that its block is in."""
+    """Each document of an unsettled cluster once for every pair of blocks that its block is in.
+
+    ``clusters`` has cluster, node, component, n_shingles. A cluster's figures are joined
+    to its documents in ``SALTS`` parts, so one large cluster doesn't meet in one task.
+    """
     stats = clusters.groupBy("cluster").agg(F.sum("n_shingles").alias("total"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
-    n_blocks = F.ceil(F.col("total") / BLOCK_SHINGLES).cast("int")
-    rows = clusters.join(stats.select("cluster", n_blocks.alias("n_blocks")), "cluster").withColumn("block", F.pmod(F.xxhash64("node"), F.col("n_blocks")).cast("int"))
+    figures = stats.select("cluster", F.ceil(F.col("total") / BLOCK_SHINGLES).cast("int").alias("n_blocks"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    salted = clusters.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int"))
+    rows = salted.join(figures, ["cluster", "salt"]).withColumn("block", F.pmod(F.xxhash64("node", F.lit(1)), F.col("n_blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)).alias("other")
-    return rows.select("*", other).select("*", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    return rows.select("*", other).select("cluster", "node", "component", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, miss: float = 1e-6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -341,8 +347,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, miss: float
 
     # 5. Links that no pair has shown yet.
     placed = clusters.join(settled, "node", "left").select("node", "cluster", F.coalesce("component", "node").alias("component"))
-    unsettled = placed.join(placed.groupBy("cluster").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("cluster"), "cluster", "left_semi")
-    late = cut_lineage(links_across(in_blocks(unsettled.join(sets, "node")), bounds, percent), "late-links")
+    sized = placed.join(sets.groupBy("node").agg(F.max("n_shingles").alias("n_shingles")), "node")
+    late = cut_lineage(links_across(in_blocks(sized).join(sets, "node"), bounds, percent), "late-links")
 
     # 6. The result.
     final = components(links.union(late))

@@ -34,7 +34,7 @@ GRADES = 3
 PREFIXES = (4, 5, 6, 7)
 WORD = re.compile(r"[^\W\d_]+")
 #: The same words in Spark's regular expressions.
-SPLIT = r"[^\p{L}\p{M}]+"
+SPLIT = r"[^\p{L}\p{Nl}\p{No}]+"
 
 
 def parts(word: str) -> list[str]:
