@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import heapq
 import zlib
+from bisect import insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,47 +45,40 @@ def cut_lengths(n: int, capacity: int) -> list[int]:
 def difference(sizes: np.ndarray, m: int) -> np.ndarray:
     """The window (0 to m - 1) of each piece, by Karmarkar-Karp differencing over m windows.
 
-    A partial partition keeps its window sums in falling order, and for each window the
-    root of the binary tree of pieces in it (-1: none). Inner nodes are numbered after
-    the pieces. Ties go to the partition made first.
+    A partial partition is a list of its windows that hold anything, as (minus the sum,
+    root of the binary tree of pieces in it), fullest first. Inner nodes are numbered
+    after the pieces. Of equal imbalances the partition made first is merged first.
     """
     n = len(sizes)
-    if m == 1:
-        return np.zeros(n, dtype=np.int64)
-    left, right = [], []
-    heap = []
-    for i in np.argsort(-sizes, kind="stable"):
-        heap.append((-int(sizes[i]), len(heap), None, int(i)))
+    left: list[int] = []
+    right: list[int] = []
+
+    def merged(a: list[tuple[int, int]], b: list[tuple[int, int]]) -> list[tuple[int, int]]:
+        """The fullest window of one with the emptiest of the other; windows that hold nothing come first."""
+        if len(a) < len(b):
+            a, b = b, a
+        shared = len(a) + len(b) - m
+        if shared <= 0:
+            for window in b:
+                insort(a, window)
+            return a
+        both = []
+        for (x, i), (y, j) in zip(a[len(a) - shared :], reversed(b)):
+            left.append(i)
+            right.append(j)
+            both.append((x + y, n + len(left) - 1))
+        return sorted(a[: len(a) - shared] + both + b[: len(b) - shared])
+
+    heap = [(-int(sizes[i]) if m > 1 else 0, made, [(-int(sizes[i]), int(i))]) for made, i in enumerate(np.argsort(-sizes, kind="stable"))]
     heapq.heapify(heap)
-    made = n
-
-    def expand(sums, roots):
-        if sums is not None:
-            return sums, roots
-        s, r = np.zeros(m, dtype=np.int64), np.full(m, -1, dtype=np.int64)
-        s[0], r[0] = sizes[roots], roots
-        return s, r
-
-    while len(heap) > 1:
-        _, _, a_sums, a_roots = heapq.heappop(heap)
-        _, _, b_sums, b_roots = heapq.heappop(heap)
-        a_sums, a_roots = expand(a_sums, a_roots)
-        b_sums, b_roots = expand(b_sums, b_roots)
-        sums, other = a_sums + b_sums[::-1], b_roots[::-1]
-        roots = np.where(a_roots < 0, other, a_roots)
-        both = np.flatnonzero((a_roots >= 0) & (other >= 0))
-        if len(both):
-            left.extend(a_roots[both].tolist())
-            right.extend(other[both].tolist())
-            roots[both] = n + len(left) - len(both) + np.arange(len(both))
-        order = np.argsort(-sums, kind="stable")
-        sums, roots = sums[order], roots[order]
-        heapq.heappush(heap, (int(sums[-1] - sums[0]), made, sums, roots))
-        made += 1
-    _, _, sums, roots = heap[0]
-    _, roots = expand(sums, roots)
+    for made in range(n, 2 * n - 1):
+        _, _, a = heapq.heappop(heap)
+        _, _, b = heapq.heappop(heap)
+        windows = merged(a, b)
+        heapq.heappush(heap, (windows[0][0] - (windows[-1][0] if len(windows) == m else 0), made, windows))
     window = np.zeros(n + len(left), dtype=np.int64)
-    window[roots[roots >= 0]] = np.flatnonzero(roots >= 0)
+    for number, (_, root) in enumerate(heap[0][2]):
+        window[root] = number
     for i in range(len(left) - 1, -1, -1):  # a node is made after its parts
         window[left[i]] = window[right[i]] = window[n + i]
     return window[:n]
