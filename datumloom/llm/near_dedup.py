@@ -304,15 +304,19 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, miss: float
     rows = pick(docs, id_col, text_col).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     every = cut_lineage(profile(rows, k), "profiles")
 
-    # 1. Classes of equal sets. The rows of a class are combined before the shuffle.
+    # 1. Classes of equal sets. A class is joined to its rows in parts by a salt, here and at the end, so a large one is many keys.
+    salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("salt")
     some = every.where("n_shingles > 0 and doc_id is not null")
-    classes = some.groupBy("set_key").agg(F.min("doc_id").alias("node"))
-    membership = some.select("doc_id", "set_key").join(classes, "set_key").select("doc_id", "set_key", "node")
-    membership = cut_lineage(membership.distinct(), "membership")
-    nodes = some.join(membership.where("doc_id = node").select("set_key", F.col("node").alias("doc_id")), ["set_key", "doc_id"]).select(F.col("doc_id").alias("node"), "set_key", "n_shingles", "bands", "sketch").dropDuplicates(["set_key"])
+    members = some.select("doc_id", "set_key", salt)
+    parts = members.groupBy("set_key", "salt").agg(F.min("doc_id").alias("least"))
+    classes = parts.groupBy("set_key").agg(F.min("least").alias("node"))
+    parts = cut_lineage(parts.join(classes, "set_key").select("set_key", "salt", "least", "node"), "classes")
+    firsts = parts.where("least = node").select("set_key", F.col("node").alias("doc_id"))
+    nodes = some.join(firsts, ["set_key", "doc_id"]).select(F.col("doc_id").alias("node"), "set_key", "n_shingles", "bands", "sketch").dropDuplicates(["set_key"])
     # An id with several texts ties their classes together.
-    several = membership.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a < z")
-    ties = membership.join(several.select("doc_id", "a"), "doc_id").select("a", F.col("node").alias("b")).where("a < b")
+    several = members.groupBy("doc_id").agg(F.min("set_key").alias("lo"), F.max("set_key").alias("hi")).where("lo < hi").select("doc_id")
+    tied = cut_lineage(members.join(several, "doc_id").distinct().join(parts, ["set_key", "salt"]).select("doc_id", "node").distinct(), "tied")
+    ties = tied.join(tied.groupBy("doc_id").agg(F.min("node").alias("a")), "doc_id").select("a", F.col("node").alias("b")).where("a < b")
 
     # 2. Candidates.
     banded = nodes.select("node", F.explode("bands").alias("key"))
@@ -352,7 +356,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, miss: float
 
     # 6. The result.
     final = components(links.union(late))
-    reached = membership.join(final, "node", "left").groupBy("doc_id").agg(F.min(F.coalesce("component", "node")).alias("reached"))
+    ends = parts.join(final, "node", "left").select("set_key", "salt", F.coalesce("component", "node").alias("component"))
+    reached = members.join(ends, ["set_key", "salt"]).groupBy("doc_id").agg(F.min("component").alias("reached"))
     return every.select("doc_id", "n_shingles").join(reached, "doc_id", "left").select(
         "doc_id",
         "n_shingles",
