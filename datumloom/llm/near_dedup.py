@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from datumloom.llm.common import cut_lineage, pick
+from datumloom.llm.common import cut_lineage, pick, slices
 from datumloom.llm.components import components
 
 BANDS, ROWS = 40, 5
@@ -149,7 +149,7 @@ def profile(docs: DataFrame, k: int) -> DataFrame:
     """doc_id, n_shingles, set_key (128-bit hash of the set; null if empty), bands and sketch of every row."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             sets = [shingle_set(t, k) for t in batch.column(1).to_pylist()]
             signatures = np.array([signature(s) for s in sets], dtype=np.uint64).reshape(-1, BANDS * ROWS)
             keys = band_keys(signatures)
@@ -312,7 +312,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, miss: float
     classes = parts.groupBy("set_key").agg(F.min("least").alias("node"))
     parts = cut_lineage(parts.join(classes, "set_key").select("set_key", "salt", "least", "node"), "classes")
     firsts = parts.where("least = node").select("set_key", F.col("node").alias("doc_id"))
-    nodes = some.join(firsts, ["set_key", "doc_id"]).select(F.col("doc_id").alias("node"), "set_key", "n_shingles", "bands", "sketch").dropDuplicates(["set_key"])
+    first_rows = some.join(firsts, ["set_key", "doc_id"]).dropDuplicates(["set_key"])
+    nodes = cut_lineage(first_rows.select(F.col("doc_id").alias("node"), "bands", "sketch"), "nodes")
     # An id with several texts ties their classes together.
     several = members.groupBy("doc_id").agg(F.min("set_key").alias("lo"), F.max("set_key").alias("hi")).where("lo < hi").select("doc_id")
     tied = cut_lineage(members.join(several, "doc_id").distinct().join(parts, ["set_key", "salt"]).select("doc_id", "node").distinct(), "tied")
@@ -333,7 +334,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, miss: float
     ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             sets = [shingle_set(t, k) for t in batch.column(1).to_pylist()]
             signatures = np.array([signature(s) for s in sets], dtype=np.uint64).reshape(-1, BANDS * ROWS)
             sketches = (signatures & np.uint64(0xFF)).astype(np.uint8)
