@@ -28,20 +28,48 @@ NAMES = {
 }
 CONTAINED = {"email": ("email",), "phone": ("phone", "mobile"), "address": ("address", "street"), "ip_address": ("_ip",), "url": ("_url",), "medical": ("diagnos", "medic", "prescri"), "financial": ("card_", "account_num")}
 
+# The pieces that regular expression engines read differently are written out: white space, and letters of either case.
+_WHITE = r"\t\n\x0B\f\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
+
+
+def _any_case(words: str) -> str:
+    return "".join(f"[{c.upper()}{c.lower()}]" if c.isalpha() else c for c in words)
+
+
+_ROADS = f"(?:{_any_case('St|Ave|Blvd|Dr|Ln|Rd|Way|Ct|Pl|Ter|Cir|Pike|Highway|Hwy')})\\b"
+_MORE_WORDS = f"(?:[{_WHITE}]+[A-Za-z]{{2,}})*"
+
 # Patterns of values, with the share of a column's values from which it counts, and what to do then.
 VALUES = {
     "email": (r"[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}", 0.3, "tokenize"),
     "ssn": (r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b", 0.1, "block"),
-    "phone": (r"\b[0-9]{3}[-.]?[0-9]{3}[-.]?[0-9]{4}\b|\+1[0-9]{10}\b|\([0-9]{3}\)[ ]?[0-9]{3}[-.]?[0-9]{4}", 0.2, "tokenize"),
+    "phone": (rf"\b[0-9]{{3}}[-.]?[0-9]{{3}}[-.]?[0-9]{{4}}\b|\+1[0-9]{{10}}\b|\([0-9]{{3}}\)[{_WHITE}]?[0-9]{{3}}[-.]?[0-9]{{4}}", 0.2, "tokenize"),
     "ip_address": (r"\b(?:(?:25[0-5]|2[0-4][0-9]|[01]?[0-9][0-9]?)\.){3}(?:25[0-5]|2[0-4][0-9]|[01]?[0-9][0-9]?)\b", 0.2, "mask"),
-    "financial": (r"\b[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}\b", 0.1, "block"),
-    "date_of_birth": (r"\b(?:19|20)[0-9]{2}[/-](?:0[1-9]|1[0-2])[/-](?:0[1-9]|[12][0-9]|3[01])\b", 0.15, "mask"),
+    "name": (rf"\b(?:Mr|Mrs|Ms|Dr|Prof)\.?[{_WHITE}]+[A-Z][a-z]+|\b[A-Z][a-z]+ [A-Z][a-z]+\b", 0.3, "tokenize"),
+    "address": (rf"\b[0-9]{{1,5}}[{_WHITE}]+[A-Za-z]{{2,}}{_MORE_WORDS}[{_WHITE}]+{_ROADS}", 0.2, "tokenize"),
+    "financial": (rf"\b[0-9]{{4}}[{_WHITE}-]?[0-9]{{4}}[{_WHITE}-]?[0-9]{{4}}[{_WHITE}-]?[0-9]{{4}}\b|\b[A-Z]{{2}}[0-9]{{2}}[A-Z0-9]{{4}}[0-9]{{7}}(?:[A-Z0-9]{{0,16}})?\b", 0.1, "block"),
+    "bank_routing": (r"\b(?:0[0-9]|1[0-2]|[23][0-9])[0-9]{7}\b", 0.1, "mask"),
+    "date_of_birth": (r"\b(?:0[1-9]|1[0-2])[/-](?:0[1-9]|[12][0-9]|3[01])[/-](?:19|20)[0-9]{2}\b|\b(?:19|20)[0-9]{2}[/-](?:0[1-9]|1[0-2])[/-](?:0[1-9]|[12][0-9]|3[01])\b", 0.15, "mask"),
+    "drivers_license": (rf"\b[A-Z][0-9]{{3}}[{_WHITE}-]?[0-9]{{3}}[{_WHITE}-]?[0-9]{{3}}[{_WHITE}-]?[0-9]{{3}}\b", 0.1, "block"),
     "passport": (r"\b[A-Z][0-9]{8}\b", 0.1, "block"),
-    "url": (r"https?://[^ \"'<>]+", 0.3, "tokenize"),
-    "medical": (r"\b[Mm][Rr][Nn][-: ]?[0-9]{6,10}\b", 0.1, "tokenize"),
-    "vin": (r"\b[A-HJ-NPR-Z0-9]{17}\b", 0.1, "mask"),
+    "url": (rf"https?://[^{_WHITE}\"'<>]+", 0.3, "tokenize"),
+    "medical": (rf"\b{_any_case('MRN')}[-:{_WHITE}]?[0-9]{{6,10}}\b|\b{_any_case('NPI')}[-:{_WHITE}]?[0-9]{{10}}\b", 0.1, "tokenize"),
+    "student_id": (rf"\b(?:{_any_case('SID|STU|STUDENT')})[-:{_WHITE}]?[0-9]{{5,10}}\b", 0.15, "tokenize"),
+    "case_number": (r"\b[0-9]{2,4}-?[A-Za-z]{2,4}-?[0-9]{3,8}\b", 0.1, "tokenize"),
+    "vin": (r"\b[A-HJ-NPR-Z0-9]{17}\b", 0.1, "block"),
 }
 
+
+def has(text: Column, pattern: str) -> Column:
+    r"""Whether a pattern of VALUES occurs; in it \b is a boundary of ASCII words, as in the reference and in SQL.
+
+    Java repeats a group by recursion, which a few thousand words overflow; a possessive
+    one that ends before the first road word finds the same texts in a loop.
+    """
+    pattern = pattern.replace(_MORE_WORDS, f"(?:[{_WHITE}]+(?!{_ROADS})[A-Za-z]{{2,}})*+")
+    return text.rlike(pattern.replace(r"\b", r"(?:(?<!\w)(?=\w)|(?<=\w)(?!\w))"))
+
+
 #: The eighteen identifiers, of which each found category covers one.
 HIPAA_18 = ("names", "geographic", "dates", "phone", "fax", "email", "ssn", "mrn", "health_plan", "account", "certificate", "vehicle", "device", "url", "ip", "biometric", "photo", "other")
 COVERS = {"name": "names", "address": "geographic", "date_of_birth": "dates", "phone": "phone", "email": "email", "ssn": "ssn", "medical": "mrn", "financial": "account", "vin": "vehicle", "url": "url", "ip_address": "ip"}
@@ -63,7 +91,7 @@ def category(column: str, keys: frozenset[str] = frozenset(), mode: str = "stric
 def scan(df: DataFrame, column: str) -> DataFrame:
     """category, hits, share of non-null values (4 places), found, action: all patterns in one pass over all rows."""
     v = F.col(column)
-    hits = [F.count_if(v.rlike(pattern)).alias(kind) for kind, (pattern, _, _) in VALUES.items()]
+    hits = [F.count_if(has(v, pattern)).alias(kind) for kind, (pattern, _, _) in VALUES.items()]
     stacked = ", ".join(f"'{kind}', `{kind}`, {limit}D, '{action}'" for kind, (_, limit, action) in VALUES.items())
     row = df.where(v.isNotNull()).agg(F.count("*").alias("n"), *hits)
     share = F.when(F.col("n") > 0, F.col("hits") / F.col("n")).otherwise(0.0)
@@ -88,7 +116,7 @@ def pii_value_scan(spark, sf_dir):
 @query("contains_pii", "SELECT doc_id, " + " || ".join(f"CASE WHEN regexp_matches(text, '{p.replace(chr(39), chr(39) * 2)}') THEN '{k},' ELSE '' END" for k, (p, _, _) in VALUES.items()) + " AS categories FROM documents")
 def contains_pii(spark, sf_dir):
     """Every document with the categories whose pattern occurs in it."""
-    found = F.concat(*(F.when(F.col("text").rlike(p), f"{k},").otherwise("") for k, (p, _, _) in VALUES.items()))
+    found = F.concat(*(F.when(has(F.col("text"), p), f"{k},").otherwise("") for k, (p, _, _) in VALUES.items()))
     return table(spark, sf_dir, "documents").select("doc_id", found.alias("categories"))
 
 
