@@ -21,13 +21,31 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-INSERT = re.compile(r'\s*INSERT\s+INTO\s+(?:\w+\.)?"?(\w+)"?\s*(?:\(([^)]*)\))?\s*VALUES\s*', re.I)
+INSERT = re.compile(r'INSERT\s+INTO\s+(?:"?\w+"?\.)?"?(\w+)"?\s*(?:\(([^)]*)\))?\s*VALUES\s*', re.I)
+
+
+#: Space and comments before a statement.
+BEFORE = re.compile(r"(?:\s+|--[^\n]*|/\*.*?\*/)*", re.S)
+#: Statements that hold no rows, besides CREATE and INSERT.
+ROWLESS = re.compile(r"(?:CREATE|ALTER|DROP|SET|USE|BEGIN|START|COMMIT|LOCK|UNLOCK|PRAGMA|ANALYZE|COMMENT|GRANT|REVOKE|SELECT)\b|;?\s*$", re.I)
+#: Texts and comments as a whole, or the beginning of one that a cut has left open.
+SPANS = re.compile(r"(?<!\w)E'(?:[^'\\]|''|\\.)*(?P<e>'?)|'(?:[^']|'')*(?P<q>'?)|--[^\n]*|/\*.*?(?P<c>\*/|$)", re.I | re.S)
+CUT = re.compile(r"(;\r?\n)")
+
+
+def left_open(part: str) -> bool:
+    """Whether a part, begun outside of texts and comments, ends inside one."""
+    return any("" in (m["e"], m["q"], m["c"]) for m in SPANS.finditer(part))
 
 
 def tuples(values: str) -> Iterator[list[str | None]]:
-    """The value tuples after VALUES: quotes doubled inside quotes, NULL without quotes is null, all else text."""
+    """The value tuples after VALUES: quotes doubled inside quotes, NULL without quotes is null, all else text.
+
+    In E'...' a backslash escapes the next character; n and r are line ends.
+    """
     row: list[str | None] = []
     text, quoted, inside, depth, i = "", False, False, 0, 0
+    escapes = False
     while i < len(values):
         ch = values[i]
         if inside:
@@ -36,10 +54,15 @@ def tuples(values: str) -> Iterator[list[str | None]]:
                 i += 1
             elif ch == "'":
                 inside = False
+            elif ch == "\\" and escapes:
+                i += 1
+                text += {"n": "\n", "r": "\r"}.get(values[i], values[i])
             else:
                 text += ch
         elif ch == "'":
             inside, quoted, text = True, True, text.strip()
+            escapes = text in ("E", "e")
+            text = "" if escapes else text
         elif ch == "(" and depth == 0:
             depth, row, text, quoted = 1, [], "", False
         elif depth and ch in ",)" and depth == 1:
@@ -59,31 +82,92 @@ def tuples(values: str) -> Iterator[list[str | None]]:
 
 
 def statements(spark: SparkSession, path: str) -> DataFrame:
-    """A dump's statements, cut by Spark where a semicolon ends a line, so a large file is read in parallel."""
-    return spark.read.option("lineSep", ";\n").text(path)
+    """A dump's statements without the comments before them, cut where a semicolon ends a line.
+
+    A file is read in parallel, by the line end that most of its statements have. Only
+    the files where a cut falls into a text or comment go through one task each, in
+    their order, and their parts are joined again.
+    """
+    where = "_metadata.file_path"
+    end = F.col("value")
+    ends = spark.read.option("lineSep", "\n").text(path).groupBy(F.col(where).alias("file")).agg(F.count_if(end.endswith(";\r")).alias("crlf"), F.count_if(end.endswith(";")).alias("lf"))
+    crlf = [r.file for r in ends.where("crlf > lf").collect()]
+
+    def parts(sep: str, files) -> DataFrame:
+        order = (F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("place"))
+        return spark.read.option("lineSep", sep).text(path).where(files).select(F.concat("value", F.lit(sep)).alias("value"), F.col(where).alias("file"), *order)
+
+    known = F.col(where).isin(crlf) if crlf else F.lit(False)
+    found = parts(";\n", ~known)
+    found = found.unionByName(parts(";\r\n", known)) if crlf else found
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for row in batch.column(0).to_pylist():
+                out.extend(CUT.split(row)[:-1:2])
+            yield pa.RecordBatch.from_arrays([pa.array([clean(s) for s in out], pa.string())], names=["value"])
+
+    def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
+            files = {f for row, f in rows if any(map(left_open, CUT.split(row)[:-1:2]))}
+            yield pa.RecordBatch.from_arrays([pa.array(sorted(files), pa.string())], names=["file"])
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, last = "", None
+        for batch in batches:
+            out = []
+            for row, file in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if held and file != last:
+                    raise ValueError(f"{last} ends inside a text or comment: {held[:200]!r}")
+                last = file
+                pieces = CUT.split(row)
+                for part, cut in zip(pieces[:-1:2], pieces[1::2]):
+                    held += part
+                    if left_open(held):
+                        held += cut
+                    else:
+                        out.append(clean(held))
+                        held = ""
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["value"])
+        if held:
+            raise ValueError(f"{last} ends inside a text or comment: {held[:200]!r}")
+
+    def clean(statement: str) -> str:
+        return statement[BEFORE.match(statement).end() :]
+
+    torn = [r.file for r in found.mapInArrow(opened, "file string").distinct().collect()]
+    if not torn:
+        return found.select("value").mapInArrow(whole, "value string")
+    alone = found.where(F.col("file").isin(torn)).repartition(len(torn), "file").sortWithinPartitions("file", "start", "place").select("value", "file")
+    return found.where(~F.col("file").isin(torn)).select("value").mapInArrow(whole, "value string").unionByName(alone.mapInArrow(joined, "value string"))
 
 
 def read_dump(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     """Each table of a dump with the types of its CREATE TABLE; names like _x_meta are skipped.
 
     Only the CREATE statements come to the driver. Inserted rows are parsed on the
-    executors. Values that don't fit a column's type are null.
+    executors. Values that don't fit a column's type are null. A statement that may
+    hold rows and can't be read is an error.
     """
     found = statements(spark, path)
-    ddl = [r[0] for r in found.where(F.col("value").rlike(r"(?is)^\s*(--[^\n]*\n\s*)*CREATE\s+TABLE")).collect()]
+    ddl = [r[0] for r in found.where(F.col("value").rlike(r"(?i)^CREATE\s+TABLE")).collect()]
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             names, rows = [], []
             for statement in batch.column(0).to_pylist():
-                if m := INSERT.match(statement or ""):
+                if m := INSERT.match(statement):
                     listed = [c.strip(' "') for c in m[2].split(",")] if m[2] else None
                     for values in tuples(statement[m.end() :]):
                         names.append(m[1])
                         rows.append(list(zip(listed or map(str, range(len(values))), values)))
+                elif not ROWLESS.match(statement):
+                    raise ValueError(f"not a statement of a dump that can be read: {statement[:200]!r}")
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(rows, pa.map_(pa.string(), pa.string()))], names=["table", "row"])
 
-    rows = found.where(F.col("value").rlike(r"(?i)^\s*INSERT")).mapInArrow(parse, "table string, row map<string,string>")
+    rows = found.mapInArrow(parse, "table string, row map<string,string>")
     out = {}
     for t in tables_of(";\n".join(ddl) + ";"):
         if re.fullmatch(r"_.*_meta", t.name):
@@ -95,14 +179,19 @@ def read_dump(spark: SparkSession, path: str) -> dict[str, DataFrame]:
 
 
 def literal(name: str, kind: str) -> Column:
-    """A cell as a SQL literal: NULL, TRUE or FALSE, a number as it is, else text with quotes doubled."""
+    """A cell as a SQL literal: NULL, TRUE or FALSE, a number as it is, else text with quotes doubled, line ends escaped in E'...'."""
     c = F.col(name)
     if kind in ("int", "bigint", "smallint", "double", "float") or kind.startswith("decimal"):
         text = c.cast("string")
     elif kind == "boolean":
         text = F.when(c, "TRUE").otherwise("FALSE")
     else:
-        text = F.concat(F.lit("'"), F.replace(c.cast("string"), F.lit("'"), F.lit("''")), F.lit("'"))
+        doubled = F.replace(c.cast("string"), F.lit("'"), F.lit("''"))
+        escaped = doubled
+        for plain, code in (("\\", "\\\\"), ("\n", "\\n"), ("\r", "\\r")):
+            escaped = F.replace(escaped, F.lit(plain), F.lit(code))
+        lined = doubled.contains("\n") | doubled.contains("\r")
+        text = F.when(lined, F.concat(F.lit("E'"), escaped, F.lit("'"))).otherwise(F.concat(F.lit("'"), doubled, F.lit("'")))
     return F.when(c.isNull(), "NULL").otherwise(text)
 
 
