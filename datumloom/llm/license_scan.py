@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 
 from datumloom.llm.common import pick
 
-# Public licence notices, as their authors ask for them to be stated.
+# Public licence notices, as their authors ask for them to be stated; sibling notices follow below.
 TEMPLATES = {
     "Apache-2.0-statement": "Licensed under the Apache License, Version 2.0.",
     "Apache-2.0-notice": (
@@ -65,8 +65,43 @@ TEMPLATES = {
     "CC0-1.0": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
 }
 
+_AS_IS = 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.'
+_ISC_AS_IS = 'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.'
+_BSD_ENDORSE = "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+_BSD_AS_IS = (
+    'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. '
+    "IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) "
+    "HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+)
+_BSD_HEAD = TEMPLATES["BSD"]
+TEMPLATES |= {
+    "MIT-text": f"{TEMPLATES['MIT']} {_AS_IS}",
+    "ISC-text": f"{TEMPLATES['ISC']} {_ISC_AS_IS}",
+    "BSD-2-Clause": f"{_BSD_HEAD} {_BSD_AS_IS}",
+    "BSD-3-Clause": f"{_BSD_HEAD} {_BSD_ENDORSE} {_BSD_AS_IS}",
+}
+# Notices of one wording that differ in a licence's name and version.
+_GNU = "This {what} is free software{sign} you can redistribute it and/or modify it under the terms of the GNU {name} as published by the Free Software Foundation{comma} either version {version} of the License, or (at your option) any later version."
+for _id, _what, _sign, _name, _comma, _version in (
+    ("GPL-2.0", "program", ";", "General Public License", ";", "2"),
+    ("LGPL-2.0", "library", ";", "Library General Public License", ";", "2"),
+    ("LGPL-2.1", "library", ";", "Lesser General Public License", ";", "2.1"),
+    ("LGPL-3.0", "program", ":", "Lesser General Public License", ",", "3"),
+    ("AGPL-3.0", "program", ":", "Affero General Public License", ",", "3"),
+):
+    TEMPLATES[f"{_id}-notice"] = _GNU.format(what=_what, sign=_sign, name=_name, comma=_comma, version=_version)
+    TEMPLATES[f"{_id}-statement"] = f"This work is licensed under the GNU {_name}, version {_version}."
+_CC = {"BY": "Attribution", "BY-NC": "Attribution-NonCommercial", "BY-SA": "Attribution-ShareAlike", "BY-ND": "Attribution-NoDerivatives", "BY-NC-SA": "Attribution-NonCommercial-ShareAlike", "BY-NC-ND": "Attribution-NonCommercial-NoDerivatives"}
+for _id, _name in _CC.items():
+    TEMPLATES.setdefault(f"CC-{_id}-4.0-statement", f"This work is licensed under a Creative Commons {_name} 4.0 International License.")
+    TEMPLATES[f"CC-{_id}-4.0-name"] = f"Licensed under CC {_id} 4.0." if _id != "BY-NC" else f"This work is licensed under a Creative Commons {_name} 4.0 International License."
+for _id in ("BSD", "ISC"):
+    TEMPLATES[f"{_id}-statement"] = f"Released under the {_id} License."
+
 WORD = re.compile(r"[a-z0-9]+")
 GRAM, WINDOW, BAND = 3, 3, 12
+#: Templates of fewer words keep all their trigrams.
+SHORT = 20
 MATCH, MISMATCH, GAP = 2, -1, -1
 
 
@@ -100,7 +135,7 @@ def index_of(templates: dict[str, str]) -> Index:
     vocabulary = {w: i for i, w in enumerate(sorted({w for words in split.values() for w in words}), 1)}
     size, inverted = len(vocabulary) + 1, defaultdict(list)
     for t, words in enumerate(split.values()):
-        for gram, at in fingerprints(words):
+        for gram, at in fingerprints(words, window=1 if len(words) < SHORT else WINDOW):
             code = 0
             for w in gram:
                 code = code * size + vocabulary[w]
@@ -142,6 +177,11 @@ def align(template: list[int], document: np.ndarray, offset: int, diagonal: int,
     return found
 
 
+def most_matches(counts: np.ndarray, part: np.ndarray) -> int:
+    """No alignment matches more words than a template and a part of a document share, order aside."""
+    return int(np.minimum(counts, np.bincount(part, minlength=len(counts)))[1:].sum())
+
+
 def scan(ids: np.ndarray, index: Index, least_coverage: float, band: int = BAND) -> list[Match]:
     """The matches in a document's word numbers (0: in no template), best first where spans overlap."""
     size = len(index.vocabulary) + 1
@@ -157,6 +197,10 @@ def scan(ids: np.ndarray, index: Index, least_coverage: float, band: int = BAND)
     found = []
     for template, anchors in hits.items():
         sequence = index.sequences[template]
+        needed = least_coverage * len(sequence)
+        if np.count_nonzero(ids) < needed:
+            continue
+        counts = np.bincount(sequence, minlength=size)
         anchors.sort()
         groups: list[list[tuple[int, int]]] = []
         for anchor in anchors:  # neighbours by diagonal, so a repeated licence makes several regions
@@ -171,16 +215,20 @@ def scan(ids: np.ndarray, index: Index, least_coverage: float, band: int = BAND)
             low, high = group[0][0], group[-1][0]
             wide = band + (high - low + 1) // 2
             start, end = max(least, low - wide), min(most, high + len(sequence) + wide)
+            if most_matches(counts, ids[start:end]) < needed:
+                continue
             result = align(sequence, ids[start:end], start, (low + high) // 2, wide)
             if result:
                 matched, first, last = result
-                if matched >= least_coverage * len(sequence):
+                if matched >= needed:
                     found.append(Match(template, matched, matched / len(sequence), first, last))
                 left = [a for a in group if a[1] < first]
                 right = [a for a in group if a[1] > last]
                 regions.extend(x for x in ((left, least, first), (right, last + 1, most)) if x[0])
     kept: list[Match] = []
-    for m in sorted(found, key=lambda m: (-m.matched, -m.coverage, m.first_word, m.template)):
+    # Matched words less those unmatched in the template and inserted in the document.
+    gain = lambda m: 3 * m.matched - len(index.sequences[m.template]) - (m.last_word - m.first_word + 1)
+    for m in sorted(found, key=lambda m: (-gain(m), -m.coverage, m.first_word, m.template)):
         if all(m.last_word < k.first_word or m.first_word > k.last_word for k in kept):
             kept.append(m)
     return sorted(kept, key=lambda m: m.first_word)
@@ -198,7 +246,7 @@ def license_matches(
     Coverage is the share of the template's words that are matched in order. The span
     is given in words (from 0, of ``[a-z0-9]+`` in the lower-cased text) and in
     characters of that lower-cased text, end exclusive. Of overlapping matches the one
-    with most matched words stays.
+    stays that has most matched words less unmatched and inserted ones.
 
     - Null and empty texts have no match; a null id stays null.
     - Repeated rows each give their matches. A whole text is scanned, however long.
