@@ -9,8 +9,9 @@ partitions with the largest imbalances, the fullest window of one with the empti
 of the other. The windows come out near-equal; if the fullest exceeds the capacity,
 the window count rises by one and the block is solved again.
 
-Blocks bound what a task holds, whatever the corpus size: the hash spreads the pieces
-evenly, and the number of blocks follows the number of tokens.
+Blocks bound what a task holds, whatever the corpus size: the hash, of a piece and its
+place in the written pieces, spreads even equal rows, and the number of blocks follows
+the number of tokens.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from datumloom.llm.common import cut_lineage, pick, slices
-from datumloom.llm.tokens import WordEncoder, tokenizer_path
+from datumloom.llm.tokens import ENCODE_ROWS, WordEncoder, tokenizer_path
 
 #: Windows in a block, about, and rows in it at most, about.
 BLOCK_WINDOWS = 128
@@ -100,19 +101,18 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = 2048, end_i
     Null texts are empty documents of the end id alone. Each row is a document of its own.
     """
     path = path or tokenizer_path()
-    end = end_id.to_bytes(4, "little")
     rows = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), "text")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = WordEncoder.of(path)
-        for batch in slices(batches):
+        for batch in slices(batches, ENCODE_ROWS):
+            ids, bounds = encoder.encode_batch([t or "" for t in batch.column(1).to_pylist()], end_id)
             out = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids = encoder.encode(text or "") + end
-                at, n = 0, len(ids) // 4
-                for length in cut_lengths(n, capacity):
-                    piece = ids[4 * at : 4 * (at + length)]
-                    out.append((doc_id, at, length, zlib.crc32(piece), n, piece if with_ids else None))
+            for doc_id, first, last in zip(batch.column(0).to_pylist(), bounds[:-1].tolist(), bounds[1:].tolist()):
+                at = first
+                for length in cut_lengths(last - first, capacity):
+                    piece = ids[at : at + length]
+                    out.append((doc_id, at - first, length, zlib.crc32(piece), last - first, piece.tobytes() if with_ids else None))
                     at += length
             columns = list(zip(*out)) if out else [[]] * 6
             types = [pa.int64()] * 5 + [pa.binary()]
@@ -138,7 +138,8 @@ def pack(cut: DataFrame, capacity: int = 2048) -> DataFrame:
     if total["n"] and not 1 <= total["least"] <= total["most"] <= capacity:
         raise ValueError("a piece doesn't fit into a window")
     n_blocks = max(1, -(-total["tokens"] // (BLOCK_WINDOWS * capacity)), -(-total["n"] // BLOCK_ROWS))
-    dealt = cut.withColumn("_block", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(n_blocks)))
+    # With their places in the written rows, any number of equal rows is spread evenly too.
+    dealt = cut.withColumn("_block", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", F.monotonically_increasing_id()), F.lit(n_blocks)))
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in cut.schema)
 
     def solve(block: pa.Table) -> pa.Table:
