@@ -25,17 +25,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from datumloom.llm.common import pick
+from datumloom.llm.common import Memory, id_lists, pick, slices, taken
+from datumloom.llm.tokens import ENCODE_ROWS
 
 SPACE = "▁"
-SEGMENT = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
+SPACES = re.compile("  +")
 SEPARATOR = "\0"
 #: Characters in one suffix array, about; and segments longer than this are relaxed with a heap.
 INDEX_CHARS, LONG = 600_000, 200
 NONE = np.iinfo(np.int32).min
+#: A text that the models which fold characters or spaces, or put none in front, encode otherwise.
+PROBE = "The  ﬁnal Ⅳ quick brown foxes jumped over ½ lazy dogs' unbelievable tokenization ,.;  Ångström\n"
+#: So many characters, of 21 bits each, are compared at once.
+FOLD, CHARACTER, ALL = 3, (1 << 21) - 1, (1 << 63) - 1
 
 
 def model_path(name: str = "piece_bpe_32k.model") -> str:
@@ -44,6 +50,11 @@ def model_path(name: str = "piece_bpe_32k.model") -> str:
     return public_tokenizers.path(name)
 
 
+def packed(codes: np.ndarray) -> np.ndarray:
+    """At each place of the last axis, but the last few, the ``FOLD`` characters from there on as one number."""
+    return sum(codes[..., i : codes.shape[-1] - FOLD + 1 + i].astype(np.int64) << (21 * (FOLD - 1 - i)) for i in range(FOLD))
+
+
 def suffix_array(codes: np.ndarray, depth: int) -> np.ndarray:
     """Positions sorted by the ``depth`` characters from there on (by three, nine, ... characters a round)."""
     n = len(codes)
@@ -96,8 +107,16 @@ class PieceEncoder:
         # Scores as ranks: larger is better, equal scores keep equal ranks.
         scores = np.array([model.get_score(i) for i in range(n)])
         self.rank = np.unique(scores, return_inverse=True)[1].astype(np.int32)
-        self.max_segments = max_segments
-        self.memory: dict[str, bytes] = {}
+        self.byte_lengths = np.array(list(map(len, self.bytes_of)), dtype=np.int64)
+        self.all_bytes = np.frombuffer(b"".join(self.bytes_of), dtype=np.uint8)
+        # Three characters of a piece in one number, and a mask for the characters that it has.
+        self.packed = packed(np.pad(self.codes, ((0, 0), (0, FOLD))))[:, : self.depth : FOLD]
+        has = np.where(np.arange(self.depth + FOLD) < self.lengths[:, None], CHARACTER, 0)
+        self.masks = packed(has)[:, : self.depth : FOLD]
+        self.segments: Memory[str, bytes] = Memory(self.learn, max_segments)
+        # Models that fold characters or spaces, or relax otherwise, are none of those that this class can follow.
+        if any(SPACE in p.lstrip(SPACE) for p, _ in normal) or self.encode_batch([PROBE])[0].tolist() != model.encode(PROBE):
+            raise ValueError(f"{path} isn't a BPE model with byte pieces, without normalization, whose pieces end before white space")
 
     @classmethod
     def of(cls, path: str) -> PieceEncoder:
@@ -108,27 +127,30 @@ class PieceEncoder:
     def edges(self, codes: np.ndarray) -> np.ndarray:
         """Piece id by position and length (column 0 unused); -1 where no piece fits."""
         order = suffix_array(codes, self.depth)
-        n, columns = len(codes), np.arange(self.depth)
-        padded = np.r_[codes, np.full(self.depth, -1, dtype=codes.dtype)]
-        inside = columns[None, :] < self.lengths[:, None]
-        rows = np.arange(len(self.ids))
+        n = len(codes)
+        suffixes = packed(np.pad(codes.astype(np.int64), (0, self.depth + 2 * FOLD)))
+        # The first characters give a range; what is longer is searched for within it.
+        heads, first = suffixes[order], self.packed[:, 0]
+        low = np.searchsorted(heads, first)
+        high = np.searchsorted(heads, first | (ALL ^ self.masks[:, 0]), side="right")
+        longer = np.flatnonzero((self.lengths > FOLD) & (low < high))
+        steps, rest, masks = np.arange(FOLD, self.depth, FOLD), self.packed[longer, 1:], self.masks[longer, 1:]
+        each = np.arange(len(longer))
 
         def bound(after: bool) -> np.ndarray:
-            low, high = np.zeros(len(self.ids), dtype=np.int64), np.full(len(self.ids), n, dtype=np.int64)
-            while (open_ := low < high).any():
-                middle = (low + high) // 2
-                at = order[np.minimum(middle, n - 1)]
-                difference = np.where(inside, padded[at[:, None] + columns] - self.codes, 0)
-                first = (difference != 0).argmax(axis=1)
-                sign = difference[rows, first]
+            """The first place in the range that isn't before each piece, or that is after all its occurrences."""
+            from_, to = low[longer], high[longer]
+            while (open_ := from_ < to).any():
+                middle = (from_ + to) // 2
+                difference = (suffixes[order[np.minimum(middle, n - 1)][:, None] + steps] & masks) - rest
+                sign = difference[each, (difference != 0).argmax(axis=1)]
                 right = open_ & ((sign < 0) | (after & (sign == 0)))
-                low = np.where(right, middle + 1, low)
-                high = np.where(open_ & ~right, middle, high)
-            return low
+                from_, to = np.where(right, middle + 1, from_), np.where(open_ & ~right, middle, to)
+            return from_
 
-        low, high = bound(False), bound(True)
+        low[longer], high[longer] = bound(False), bound(True)
         count = high - low
-        which = np.repeat(rows, count)
+        which = np.repeat(np.arange(len(count)), count)
         at = order[np.repeat(low, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)]
         table = np.full((n, self.depth + 1), -1, dtype=np.int32)
         table[at, self.lengths[which]] = self.ids[which]
@@ -211,12 +233,23 @@ class PieceEncoder:
         at = sorted(after)
         return at, [after[i] for i in at]
 
-    def learn(self, segments: list[str]) -> None:
-        """Put the segments' ids into the memory."""
+    def learn(self, keys: list[str]) -> list[bytes]:
+        """The ids of segments, given without the mark of white space that each begins with."""
+        out: list[bytes] = []
+        start = size = 0
+        for stop, key in enumerate(keys, 1):
+            size += len(key) + 2
+            if size > INDEX_CHARS or stop == len(keys):
+                out.extend(self.index([SPACE + k for k in keys[start:stop]]))
+                start, size = stop, 0
+        return out
+
+    def index(self, segments: list[str]) -> list[bytes]:
+        """The segments' ids by one suffix array over all of them."""
         text = SEPARATOR.join(segments) + SEPARATOR
         codes = np.frombuffer(text.encode("utf-32-le"), dtype=np.int32)
         table = self.edges(codes)
-        lengths = np.array([len(s) for s in segments], dtype=np.int64)
+        lengths = np.array(list(map(len, segments)), dtype=np.int64)
         starts = np.cumsum(lengths + 1) - lengths - 1
         ends = starts + lengths
         short = lengths <= LONG
@@ -227,50 +260,36 @@ class PieceEncoder:
         order = np.argsort(at, kind="stable")
         at, to = at[order], to[order]
         pieces = table[at, to - at]
-        if (pieces < 0).any():  # single characters without a piece
-            spread = [[p] if p >= 0 else [self.byte_ids[b] for b in text[a].encode()] for p, a in zip(pieces.tolist(), at.tolist())]
-            counts = np.array([len(s) for s in spread])
-            pieces, at = np.array([p for s in spread for p in s], dtype=np.int32), np.repeat(at, counts)
-        bounds = np.searchsorted(at, ends)
-        data, low = pieces.astype("<u4").tobytes(), 0
-        for segment, high in zip(segments, bounds.tolist()):
-            self.memory[segment] = data[4 * low : 4 * high]
-            low = high
-
-    def encode_batch(self, texts: list[str]) -> list[bytes]:
-        """Each text's ids as little-endian unsigned 32-bit integers."""
-        split = [SEGMENT.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
-        memory = self.memory
-        out: list[bytes] = []
-        start = 0
-        while start < len(split):
-            # As many texts at a time as the memory can hold the segments of.
-            new: dict[str, None] = {}
-            stop = start
-            while stop < len(split) and (stop == start or len(new) < self.max_segments // 2):
-                new.update((s, None) for s in split[stop] if s not in memory)
-                stop += 1
-            if len(memory) + len(new) > self.max_segments:
-                memory.clear()
-                new = dict.fromkeys(s for segments in split[start:stop] for s in segments)
-            part, size = [], 0
-            for s in new:
-                part.append(s)
-                size += len(s) + 1
-                if size > INDEX_CHARS:
-                    self.learn(part)
-                    part, size = [], 0
-            if part:
-                self.learn(part)
-            out.extend(b"".join([memory[s] for s in segments]) for segments in split[start:stop])
-            start = stop
-        return out
-
-    def decode(self, ids: bytes) -> str:
-        """The text of ids: pieces with spaces for their marks, without the space put in front."""
-        of = self.bytes_of
-        data = b"".join([of[i] for i in np.frombuffer(ids, dtype="<u4").tolist()])
-        return (data[1:] if data[:1] == b" " else data).decode("utf-8", errors="replace")
+        bare = np.flatnonzero(pieces < 0)  # single characters without a piece
+        if len(bare):
+            spelled = [[self.byte_ids[b] for b in text[a].encode()] for a in at[bare].tolist()]
+            counts = np.ones(len(at), dtype=np.int64)
+            counts[bare] = list(map(len, spelled))
+            pieces, at = np.repeat(pieces, counts), np.repeat(at, counts)
+            pieces[pieces < 0] = [p for s in spelled for p in s]
+        bounds = (4 * np.r_[0, np.searchsorted(at, ends)]).tolist()
+        data = pieces.astype("<u4").tobytes()
+        return [data[low:high] for low, high in zip(bounds, bounds[1:])]
+
+    def encode_batch(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All texts' ids in one array, and their bounds. An empty text has none.
+
+        Every segment begins with a mark of white space, the first one's put in front
+        of the text. So cutting at a run's first mark gives the segments without it.
+        """
+        marked = [SPACES.sub(lambda m: " " + SPACE * (len(m[0]) - 1), f" {t}".replace(SPACE, " "))[1:] if "  " in t or SPACE in t or t[:1] == " " else t for t in texts]
+        split = pc.split_pattern(pa.array([t or None for t in marked], pa.large_string()), " ")
+        numbered = pc.dictionary_encode(pc.list_flatten(split))
+        values = self.segments.values(numbered.dictionary.to_numpy(zero_copy_only=False).tolist())
+        lengths = np.array(list(map(len, values)), dtype=np.int64) // 4
+        ids, upto = taken(np.frombuffer(b"".join(values), dtype="<u4"), lengths, numbered.indices.to_numpy())
+        return ids, upto[split.offsets.to_numpy()]
+
+    def decode_batch(self, ids: np.ndarray, bounds: np.ndarray) -> list[str]:
+        """The text of each stretch of ids: pieces with spaces for their marks, without the space put in front."""
+        data, upto = taken(self.all_bytes, self.byte_lengths, ids)
+        data, at = data.tobytes(), upto[bounds].tolist()
+        return [data[a + (data[a : a + 1] == b" " and a < b) : b].decode("utf-8", errors="replace") for a, b in zip(at, at[1:])]
 
 
 def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -285,11 +304,10 @@ def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", tex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = PieceEncoder.of(path)
-        for batch in batches:
-            for start in range(0, batch.num_rows, 2000):
-                part = batch.slice(start, 2000)
-                ids = encoder.encode_batch([t or "" for t in part.column(1).to_pylist()])
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary()), pa.array([encoder.decode(i) for i in ids], pa.string())], names=[id_col, "ids", "decoded"])
+        for batch in slices(batches, ENCODE_ROWS):
+            ids, bounds = encoder.encode_batch([t or "" for t in batch.column(1).to_pylist()])
+            decoded = encoder.decode_batch(ids, bounds)
+            yield pa.RecordBatch.from_arrays([batch.column(0), id_lists(ids, bounds), pa.array(decoded, pa.string())], names=[id_col, "ids", "decoded"])
 
     return rows.mapInArrow(run, f"`{id_col}` {rows.schema[id_col].dataType.simpleString()}, ids binary, decoded string")
 
