@@ -7,6 +7,7 @@ one aggregate over it wherever that is possible, so a table is scanned few times
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 from itertools import combinations
 
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 
 from datumloom.functions.numbers import half_up, places, uniform, uniform_sql
 from datumloom.plans import star
-from datumloom.registry import query, table
+from datumloom.registry import TABLES, query, table
 
 
 def missing(df: DataFrame, name: str) -> Column:
@@ -361,10 +362,10 @@ def exact_match_rate(spark, sf_dir):
     return found.select("n_rows", "n_duplicates", F.when(F.col("n_duplicates") == 0, 100).when(rate < 1, 80).when(rate < 5, 50).otherwise(20).cast("long").alias("score"))
 
 
-@query(
-    "sensitive_uniqueness",
-    metric_sql("SELECT sum(d)::DOUBLE AS passed, count(*) AS checked FROM (" + " UNION ALL ".join(f"SELECT (count(DISTINCT {c})::DOUBLE / count({c}) > 0.8)::INT AS d FROM {t} HAVING count({c}) >= 5" for t, c in (("customer", "c_name"), ("supplier", "s_name"), ("part", "p_name"))) + ") s", "sensitive_uniqueness", "privacy"),
-)
+_SENSITIVE = metric_sql("SELECT sum(d)::DOUBLE AS passed, count(*) AS checked FROM (" + " UNION ALL ".join(f"SELECT (count(DISTINCT {c})::DOUBLE / count({c}) > 0.8)::INT AS d FROM {t} HAVING count({c}) >= 5" for t, c in (("customer", "c_name"), ("supplier", "s_name"), ("part", "p_name"))) + ") s", "sensitive_uniqueness", "privacy")
+
+
+@query("sensitive_uniqueness", _SENSITIVE)
 def sensitive_uniqueness(spark, sf_dir):
     each = [table(spark, sf_dir, t).agg(F.count_distinct(c).alias("d"), F.count(c).alias("n")).where("n >= 5").select((F.col("d") / F.col("n") > 0.8).cast("int").alias("p")) for t, c in (("customer", "c_name"), ("supplier", "s_name"), ("part", "p_name"))]
     return metric(union(each).agg(F.sum("p").alias("passed"), F.count("*").alias("checked")), "sensitive_uniqueness", "privacy")
@@ -382,6 +383,62 @@ def scale_confidence(spark, sf_dir):
     return least.select("n", half_up(100 / F.sqrt("n")).cast("long").alias("margin"), level.alias("level"))
 
 
+#: Column names that tell of personal data, by kind, in lower case; an underscore is part of a word.
+PII_NAMES = {
+    "SSN": (r"\bssn\b", r"\bsocial.?security"),
+    "Email": (r"\bemail\b",),
+    "Phone": (r"\bphone\b", r"\bmobile\b", r"\bcell\b"),
+    "Credit Card": (r"\bcredit.?card\b", r"\bcard.?num", r"\bcc.?num"),
+    "DOB": (r"\bdob\b", r"\bdate.?of.?birth", r"\bbirth.?date"),
+    "Name": (r"\bfull.?name\b", r"\bfirst.?name\b", r"\blast.?name\b"),
+    "Address": (r"\baddress\b", r"\bstreet\b"),
+    "IP Address": (r"\bip.?addr", r"\bsource.?ip"),
+    "Passport": (r"\bpassport",),
+    "Driver License": (r"\bdriver.?lic", r"\bdl.?num"),
+}
+
+
+def pii_kind(column: str) -> str | None:
+    """The first kind of personal data that a column's name tells of."""
+    return next((kind for kind, patterns in PII_NAMES.items() if any(re.search(p, column, re.IGNORECASE) for p in patterns)), None)
+
+
+def columns_of(spark, sf_dir, names: tuple[str, ...]) -> DataFrame:
+    """table and column of the named tables: metadata alone, no rows are read."""
+    return spark.createDataFrame([(t, c) for t in names for c in table(spark, sf_dir, t).columns], "table string, column string")
+
+
+_COLUMNS = "(SELECT table_name AS \"table\", column_name AS \"column\" FROM information_schema.columns WHERE table_name IN ({0}))"
+_ANY_PII = "|".join(p for patterns in PII_NAMES.values() for p in patterns)
+_PII_METRIC = f"SELECT 'pii_columns' AS metric, 'privacy' AS pillar, (n - d)::DOUBLE AS passed, n AS checked, greatest(0, 100 - 15 * d)::BIGINT AS score FROM (SELECT count(*) AS n, count(*) FILTER (WHERE regexp_matches(lower(\"column\"), '{_ANY_PII}')) AS d FROM {_COLUMNS.format(', '.join(repr(t) for t in TABLES))} c) m"
+
+
+@query("pii_column_metric", _PII_METRIC)
+def pii_column_metric(spark, sf_dir):
+    """Columns whose names don't tell of personal data; each one that does takes 15 points."""
+    found = columns_of(spark, sf_dir, TABLES).agg(F.count("*").alias("n"), F.count_if(F.lower("column").rlike(_ANY_PII)).alias("d"))
+    return found.select(F.lit("pii_columns").alias("metric"), F.lit("privacy").alias("pillar"), (F.col("n") - F.col("d")).cast("double").alias("passed"), F.col("n").alias("checked"), F.greatest(F.lit(0), 100 - 15 * F.col("d")).cast("long").alias("score"))
+
+
+_K_METRIC = f"SELECT 'k_anonymity' AS metric, 'privacy' AS pillar, min(k)::DOUBLE AS passed, count(*) AS checked, CAST(CASE WHEN count(*) = 0 OR min(k) >= 10 THEN 100 WHEN min(k) >= 5 THEN 80 WHEN min(k) >= 3 THEN 50 ELSE 20 END AS BIGINT) AS score FROM ({_K}) k"
+_DUPES_METRIC = f"SELECT 'exact_match_rate' AS metric, 'privacy' AS pillar, (n_rows - n_duplicates)::DOUBLE AS passed, n_rows AS checked, CAST(CASE WHEN n_duplicates = 0 THEN 100 WHEN 100.0 * n_duplicates / n_rows < 1 THEN 80 WHEN 100.0 * n_duplicates / n_rows < 5 THEN 50 ELSE 20 END AS BIGINT) AS score FROM ({_DUPES}) d"
+
+
+def privacy_metrics(spark, sf_dir) -> DataFrame:
+    """The privacy pillar's metrics; for k-anonymity ``passed`` is the least group and ``checked`` the number of tables."""
+    named = lambda name: (F.lit(name).alias("metric"), F.lit("privacy").alias("pillar"))
+    k = k_anonymity(spark, sf_dir).agg(F.min("k").alias("k"), F.count("*").alias("n"))
+    exact = exact_match_rate(spark, sf_dir)
+    return union(
+        [
+            k.select(*named("k_anonymity"), F.col("k").cast("double").alias("passed"), F.col("n").alias("checked"), F.coalesce(k_score(F.col("k")), F.lit(100)).cast("long").alias("score")),
+            exact.select(*named("exact_match_rate"), (F.col("n_rows") - F.col("n_duplicates")).cast("double").alias("passed"), F.col("n_rows").alias("checked"), "score"),
+            pii_column_metric(spark, sf_dir),
+            sensitive_uniqueness(spark, sf_dir),
+        ]
+    )
+
+
 _METRICS = " UNION ALL ".join(
     [
         metric_sql(_COMPLETE, "completeness", "fidelity"),
@@ -393,6 +450,10 @@ _METRICS = " UNION ALL ".join(
         metric_sql(_AGE, "semantic_rules", "structure"),
         metric_sql(f"SELECT count(*) FILTER (WHERE valid) AS passed, count(*) AS checked FROM ({_ENUM}) e", "enum_validity", "structure"),
         metric_sql(f"SELECT sum(points) AS passed, count(*) AS checked FROM ({_RATIOS}) r", "cardinality_ratio", "structure"),
+        _K_METRIC,
+        _DUPES_METRIC,
+        _PII_METRIC,
+        _SENSITIVE,
     ]
 )
 
@@ -411,13 +472,14 @@ def all_metrics(spark, sf_dir) -> DataFrame:
             semantic_rules(spark, sf_dir),
             enum_validity(spark, sf_dir),
             metric(ratios, "cardinality_ratio", "structure"),
+            privacy_metrics(spark, sf_dir),
         ]
     )
 
 
 @query("assessment", _METRICS)
 def assessment(spark, sf_dir):
-    """All metric rows of the star schema."""
+    """All thirteen metric rows of the star schema, of three pillars."""
     return all_metrics(spark, sf_dir)
 
 
@@ -439,3 +501,39 @@ def dora_rollup(spark, sf_dir):
     s = all_metrics(spark, sf_dir).agg(F.max(F.when(F.col("metric") == "fk_integrity", F.col("score"))).alias("fk"), F.max(F.when(F.col("metric") == "temporal_logic", F.col("score"))).alias("tl"))
     status = F.when((F.col("fk") >= 100) & (F.col("tl") >= 95), "pass").when((F.col("fk") >= 90) | (F.col("tl") >= 90), "partial").otherwise("fail")
     return s.select(F.expr("stack(2, 'article_10', 'x', 'article_12', 'pass') AS (article, given)"), status.alias("ten")).select("article", F.when(F.col("article") == "article_10", F.col("ten")).otherwise(F.col("given")).alias("status"))
+
+
+# The least that a standard asks for: completeness, references, keys and temporal order in percent, the
+# least group of quasi-identifiers, and the largest share of repeated rows in percent.
+STANDARDS = {"generic": (90, 100, 100, 100, 5, 0), "hipaa": (95, 100, 100, 100, 5, 0), "gdpr": (90, 100, 100, 100, 10, 0), "pci": (95, 100, 100, 100, 5, 0)}
+_ASKED = ("completeness", "fk_integrity", "pk_uniqueness", "temporal_logic", "k_anonymity", "exact_match_rate")
+
+
+@query(
+    "standard_presets",
+    f"""WITH m AS ({_METRICS}), s(standard, metric, threshold) AS (VALUES {", ".join(f"('{s}', '{m}', {t})" for s, row in STANDARDS.items() for m, t in zip(_ASKED, row))})
+ SELECT standard, metric, threshold, value, CASE metric WHEN 'exact_match_rate' THEN value <= threshold ELSE value >= threshold END AS met FROM
+ (SELECT standard, metric, threshold, CASE metric WHEN 'k_anonymity' THEN passed WHEN 'exact_match_rate' THEN 100.0::DOUBLE * (checked - passed) / checked ELSE score::DOUBLE END AS value FROM s JOIN m USING (metric)) v""",
+)
+def standard_presets(spark, sf_dir):
+    """What each standard asks of six metrics, what was measured, and whether it is met."""
+    wanted = spark.createDataFrame([(s, m, t) for s, row in STANDARDS.items() for m, t in zip(_ASKED, row)], "standard string, metric string, threshold int")
+    rate = 100.0 * (F.col("checked") - F.col("passed")) / F.col("checked")
+    value = F.when(F.col("metric") == "k_anonymity", F.col("passed")).when(F.col("metric") == "exact_match_rate", rate).otherwise(F.col("score").cast("double"))
+    met = F.when(F.col("metric") == "exact_match_rate", F.col("value") <= F.col("threshold")).otherwise(F.col("value") >= F.col("threshold"))
+    return wanted.join(all_metrics(spark, sf_dir), "metric").withColumn("value", value).select("standard", "metric", "threshold", "value", met.alias("met"))
+
+
+LEVELS = ("LOW", "MEDIUM", "HIGH", "VERY_HIGH")
+
+
+@query(
+    "confidence_gate",
+    f"""SELECT required, level, reached >= wanted AS passes FROM (SELECT level, CASE level WHEN 'LOW' THEN 0 WHEN 'MEDIUM' THEN 1 WHEN 'HIGH' THEN 2 ELSE 3 END AS reached FROM
+ (SELECT {_LEVELS} AS level FROM (SELECT min(n) AS n FROM ({" UNION ALL ".join(f"SELECT count(*) AS n FROM {t}" for t in _ROOTS)}) r) m) l) a, (VALUES ('LOW', 0), ('MEDIUM', 1), ('HIGH', 2), ('VERY_HIGH', 3)) v(required, wanted)""",
+)
+def confidence_gate(spark, sf_dir):
+    """For each level that may be required, whether the data's scale confidence reaches it."""
+    order = F.array(*map(F.lit, LEVELS))
+    found = scale_confidence(spark, sf_dir).select("level", F.explode(order).alias("required"))
+    return found.select("required", "level", (F.array_position(order, F.col("level")) >= F.array_position(order, F.col("required"))).alias("passes"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from datumloom.functions.numbers import half_up, places, places_sql, uniform, uniform_sql
 from datumloom.operators.assess import SHIPMENTS, shipments, union
 from datumloom.registry import query, table
+from datumloom.sources.dumps import scratch
 
 # The second version of the orders: some left out, some with another status, none of the priorities changed.
 def second_version(orders: DataFrame) -> DataFrame:
@@ -86,6 +87,21 @@ def bag_diff(spark, sf_dir):
     return bags(orders.select(*names), second_version(orders).select(*names))
 
 
+def placed(df: DataFrame, order_by: list[str]) -> DataFrame:
+    """Rows with their place _at in the order, from 1.
+
+    The rows are written by ranges of the order, so that the ranges are the same wherever
+    they are read; a place is one in a range plus the rows of the ranges before.
+    """
+    path = scratch(df.sparkSession, "placed")
+    df.repartitionByRange(*order_by).withColumn("_part", F.spark_partition_id()).write.parquet(path)
+    rows = df.sparkSession.read.parquet(path)
+    sizes = rows.groupBy("_part").agg(F.count("*").alias("_n"))  # as many rows as ranges
+    before = sizes.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    within = F.row_number().over(Window.partitionBy("_part").orderBy(*order_by))
+    return rows.join(F.broadcast(before), "_part").withColumn("_at", within + F.col("_before")).drop("_part", "_before")
+
+
 def grade(expected: DataFrame, given: DataFrame, order_by: list[str]) -> DataFrame:
     """Points for columns (25), row count (15), matching rows (40) and order (20), and their sum.
 
@@ -100,9 +116,8 @@ def grade(expected: DataFrame, given: DataFrame, order_by: list[str]) -> DataFra
         F.when(n == m, 15.0).otherwise(half_up(15.0 * F.least(n, m) / F.greatest(n, m)).cast("double")).alias("row_count"),
         half_up(40.0 * F.col("matched") / F.greatest(n, m, F.lit(1))).cast("double").alias("matching"),
     )
-    w = Window.orderBy(*order_by)  # graded results are small; the order of a whole result has no other partitioning
-    left = expected.withColumn("_at", F.row_number().over(w))
-    right = given.select(*(F.col(c).alias(f"_{c}") for c in given.columns)).withColumn("_at", F.row_number().over(Window.orderBy(*(f"_{c}" for c in order_by))))
+    left = placed(expected, order_by)
+    right = placed(given.select(*(F.col(c).alias(f"_{c}") for c in given.columns)), [f"_{c}" for c in order_by])
     same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in expected.columns]
     equal = same[0]
     for s in same[1:]:

@@ -147,7 +147,10 @@ def conflicts(targets: dict[str, set[str]]) -> list[tuple[str, str, str]]:
     return [(a, b, t) for i, a in enumerate(names) for b in names[i + 1 :] for t in sorted(targets[a] & targets[b])]
 
 
-@query("compose_conflicts", "SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}', '{t}')" for a, b, t in conflicts(TARGETS)) + ") v(one, other, \"table\")")
+_TARGETS = "(VALUES " + ", ".join(f"('{s}', '{t}')" for s, tables in TARGETS.items() for t in sorted(tables)) + ")"
+
+
+@query("compose_conflicts", f"SELECT a.s AS one, b.s AS other, a.t AS \"table\" FROM {_TARGETS} a(s, t) JOIN {_TARGETS} b(s, t) ON a.t = b.t AND a.s < b.s")
 def compose_conflicts(spark, sf_dir):
     return spark.createDataFrame(conflicts(TARGETS), "one string, other string, table string")
 

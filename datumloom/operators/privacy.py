@@ -8,8 +8,11 @@ import json
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pyspark.sql.types import NumericType
+
 from datumloom.functions.numbers import places, places_sql, uniform, uniform_sql
-from datumloom.registry import query, table
+from datumloom.plans import star
+from datumloom.registry import TABLES, query, table
 
 # Column names that tell of personal data, by category, in the order in which they are tried.
 NAMES = {
@@ -27,6 +30,26 @@ NAMES = {
     "quasi": ("age", "gender", "ethnicity", "race", "marital_status", "income", "salary", "occupation", "employer"),
 }
 CONTAINED = {"email": ("email",), "phone": ("phone", "mobile"), "address": ("address", "street"), "ip_address": ("_ip",), "url": ("_url",), "medical": ("diagnos", "medic", "prescri"), "financial": ("card_", "account_num")}
+# Tables of persons, where "name" and names with "_name" in them are personal; words of free-text columns.
+PERSON_TABLES = ("users", "user", "people", "person", "contacts", "contact", "members", "member", "employees", "employee", "customers", "customer", "patients", "patient", "profiles", "profile", "staff")
+FREE_TEXT = ("note", "comment", "description", "bio", "about", "message")
+# How a column of each category is masked.
+STRATEGIES = {
+    "email": "replace_email",
+    "name": "replace_name",
+    "phone": "replace_phone",
+    "address": "replace_address",
+    "ssn": "replace_ssn",
+    "date_of_birth": "shift_date",
+    "ip_address": "replace_ip",
+    "username": "replace_username",
+    "url": "replace_url",
+    "medical": "redact",
+    "financial": "replace_ssn",
+    "quasi": "generalize_numeric",
+    "free_text": "replace_text",
+    "safe": "preserve",
+}
 
 # The pieces that regular expression engines read differently are written out: white space, and letters of either case.
 _WHITE = r"\t\n\x0B\f\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
@@ -75,9 +98,13 @@ HIPAA_18 = ("names", "geographic", "dates", "phone", "fax", "email", "ssn", "mrn
 COVERS = {"name": "names", "address": "geographic", "date_of_birth": "dates", "phone": "phone", "email": "email", "ssn": "ssn", "medical": "mrn", "financial": "account", "vin": "vehicle", "url": "url", "ip_address": "ip"}
 
 
-def category(column: str, keys: frozenset[str] = frozenset(), mode: str = "strict") -> str:
-    """The category of a column by its name; keys are safe, and medical names count under hipaa and strict only."""
-    name = column.lower()
+def category(column: str, keys: frozenset[str] = frozenset(), mode: str = "strict", table_name: str = "", long_text: bool = False) -> str:
+    """The category of a column by its name and table.
+
+    Keys and references are safe. Medical names count under hipaa and strict only, words
+    of free text under gdpr and strict only, and there for long text columns.
+    """
+    name, person = column.lower(), table_name.lower() in PERSON_TABLES
     if column in keys:
         return "safe"
     for kind, names in NAMES.items():
@@ -85,7 +112,16 @@ def category(column: str, keys: frozenset[str] = frozenset(), mode: str = "stric
             continue
         if name in names or any(part in name for part in CONTAINED.get(kind, ())):
             return kind
-    return "safe"
+        if kind == "name" and person and (name == "name" or "_name" in name):
+            return kind
+    return "free_text" if long_text and mode != "hipaa" and any(w in name for w in FREE_TEXT) else "safe"
+
+
+def strategy(kind: str, mode: str = "strict") -> str:
+    """How to mask a category: under hipaa links stay, and quasi-identifiers are generalized under strict only."""
+    if (kind == "url" and mode == "hipaa") or (kind == "quasi" and mode != "strict"):
+        return "preserve"
+    return STRATEGIES[kind]
 
 
 def scan(df: DataFrame, column: str) -> DataFrame:
@@ -126,14 +162,48 @@ def hipaa18_coverage(spark, sf_dir):
     return found.agg(F.count_if("found").alias("n_found")).select("n_found", F.floor(100.0 * F.col("n_found") / len(HIPAA_18) + 0.5).alias("pct"))
 
 
-_PII_TABLES = {"customer": ("c_custkey", "c_nationkey"), "supplier": ("s_suppkey", "s_nationkey")}
+#: Keys and references of each table, which are never personal.
+KEYS = {t: frozenset([star.PRIMARY_KEYS.get(t)]) | frozenset(c for child, c, _, _ in star.FOREIGN_KEYS if child == t) for t in TABLES}
+
+
+def _category_sql() -> str:
+    """The same rules in SQL, over lower-case names ``c`` of tables ``t``."""
+    some = lambda values: ", ".join(f"'{v}'" for v in values)
+    keys = " OR ".join(f"(t = '{t}' AND c IN ({some(k - {None})}))" for t, k in KEYS.items() if k - {None})
+    out = f"CASE WHEN {keys} THEN 'safe'"
+    for kind, names in NAMES.items():
+        tests = [f"c IN ({some(names)})", *(f"contains(c, '{part}')" for part in CONTAINED.get(kind, ()))]
+        if kind == "name":
+            tests.append(f"(t IN ({some(PERSON_TABLES)}) AND (c = 'name' OR contains(c, '_name')))")
+        out += f" WHEN {' OR '.join(tests)} THEN '{kind}'"
+    return out + " ELSE 'safe' END"
+
+
+_CATEGORIES = f"SELECT t AS \"table\", c AS \"column\", {_category_sql()} AS category FROM (SELECT table_name AS t, column_name AS c FROM information_schema.columns WHERE table_name IN ({', '.join(repr(t) for t in TABLES)})) n"
 
 
-@query("pii_columns", "SELECT * FROM (VALUES ('customer', 'c_custkey', 'safe'), ('customer', 'c_name', 'safe'), ('customer', 'email_address', 'email'), ('customer', 'home_phone', 'phone'), ('customer', 'dob', 'date_of_birth'), ('customer', 'salary', 'quasi')) v(\"table\", \"column\", category)")
+@query("pii_columns", f"SELECT \"table\", \"column\", category, CASE category " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in STRATEGIES.items()) + f" END AS strategy FROM ({_CATEGORIES}) c")
 def pii_columns(spark, sf_dir):
-    """Categories of a customer table's columns by their names, some personal ones added."""
-    df = table(spark, sf_dir, "customer").select("c_custkey", "c_name").selectExpr("*", "'' AS email_address", "'' AS home_phone", "'' AS dob", "'' AS salary")
-    return spark.createDataFrame([("customer", c, category(c, frozenset(_PII_TABLES["customer"]))) for c in df.columns], "table string, column string, category string")
+    """Category and masking strategy of every column of all tables, by names alone; no rows are read."""
+    rows = []
+    for t in TABLES:
+        for c in table(spark, sf_dir, t).columns:
+            kind = category(c, KEYS[t], "strict", t)
+            rows.append((t, c, kind, strategy(kind)))
+    return spark.createDataFrame(rows, "table string, column string, category string, strategy string")
+
+
+def mask_table(df: DataFrame, name: str, key: str, keys: frozenset[str] = frozenset(), mode: str = "strict", seed: int = 17) -> DataFrame:
+    """A table with each column masked by the strategy of its detected category; keys and safe columns stay."""
+    out = []
+    for field in df.schema:
+        plan = strategy(category(field.name, keys | {key}, mode, name), mode)
+        if (plan == "shift_date") != (field.dataType.typeName() in ("date", "timestamp", "timestamp_ntz")) and plan in ("shift_date", "generalize_numeric"):
+            plan = "redact"  # a date kept as text can't be shifted
+        if plan == "generalize_numeric" and not isinstance(field.dataType, NumericType):
+            plan = "redact"
+        out.append(mask(F.col(field.name), plan, F.col(key), seed).alias(field.name))
+    return df.select(*out)
 
 
 def pick_name(u: Column, names: list[str]) -> Column:
@@ -173,9 +243,12 @@ def _m(strategy: str, k: int = 0) -> str:
 _LIST = lambda names: "[" + ", ".join(f"'{n}'" for n in names) + "]"
 
 
+_NAME_SQL = f"{_LIST(FIRST)}[floor({_m('replace_name', 0)} * 16)::INT + 1] || ' ' || {_LIST(LAST)}[floor({_m('replace_name', 1)} * 16)::INT + 1]"
+
+
 @query(
     "mask_columns",
-    f"""SELECT c_custkey, {_LIST(FIRST)}[floor({_m('replace_name', 0)} * 16)::INT + 1] || ' ' || {_LIST(LAST)}[floor({_m('replace_name', 1)} * 16)::INT + 1] AS c_name, c_nationkey,
+    f"""SELECT c_custkey, {_NAME_SQL} AS c_name, c_nationkey,
  floor(c_acctbal * (0.9::DOUBLE + 0.2::DOUBLE * {_m('generalize_numeric')}) * 100 + 0.5) / 100 AS c_acctbal, '[REDACTED]' AS c_mktsegment,
  '555-' || lpad(floor({_m('replace_phone', 0)} * 1000)::BIGINT::VARCHAR, 3, '0') || '-' || lpad(floor({_m('replace_phone', 1)} * 10000)::BIGINT::VARCHAR, 4, '0') AS phone FROM customer""",
 )
@@ -186,6 +259,12 @@ def mask_columns(spark, sf_dir):
     )
 
 
+@query("mask_detected", f"SELECT c_custkey, {_NAME_SQL} AS c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer")
+def mask_detected(spark, sf_dir):
+    """The customer table masked by what its column names tell: the names are replaced, the rest stays."""
+    return mask_table(table(spark, sf_dir, "customer"), "customer", "c_custkey", KEYS["customer"]).select("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment")
+
+
 def token(prefix: str, tbl: str, column: str) -> Column:
     """The same value of a table's column always gives the same token."""
     return F.when(F.col(column).isNotNull(), F.concat(F.lit(f"{prefix}-"), F.substring(F.sha2(F.concat_ws(":", F.lit(tbl), F.lit(column), F.col(column).cast("string")), 256), 1, 12)))

@@ -41,16 +41,34 @@ def distribution_shape(spark, sf_dir):
     return profile(table(spark, sf_dir, "part"), ("p_brand", "p_type", "p_size"))
 
 
+#: The share of rows on either side of a median within which its bounds are sought.
+MARGIN = 1e-5
+
+
 def numeric(df: DataFrame, columns: tuple[str, ...]) -> DataFrame:
-    """column, n, min, max, mean (2 places), exact median and population deviation of several columns, in one aggregate."""
-    kinds = ("n", "least", "most", "mean", "median", "sd")
+    """column, n, min, max, mean (2 places), exact median and population deviation of several columns.
+
+    One aggregate gives all but the median, and bounds around it by approximate
+    percentiles. Of the values between the bounds, a few of 100,000, only the counts are
+    needed, so no task merges a column's distinct values.
+    """
+    kinds = ("n", "least", "most", "mean", "sd", "low", "high")
     aggregates = []
     for c in columns:
         x = F.col(c).cast("double")
-        values = (F.count(x).cast("double"), F.min(x), F.max(x), F.avg(x.cast("decimal(20,6)")).cast("double"), F.percentile(x, F.lit(0.5)), F.stddev_pop(x))
+        near = F.percentile_approx(x, [0.5 - MARGIN, 0.5 + MARGIN], round(2 / MARGIN))
+        values = (F.count(x).cast("double"), F.min(x), F.max(x), F.avg(x.cast("decimal(20,6)")).cast("double"), F.stddev_pop(x), near[0], near[1])
         aggregates += [v.alias(f"{c}_{k}") for k, v in zip(kinds, values)]
     stacked = ", ".join(f"'{c}', " + ", ".join(f"`{c}_{k}`" for k in kinds) for c in columns)
-    return df.agg(*aggregates).select(F.expr(f"stack({len(columns)}, {stacked}) AS (column, {', '.join(kinds)})")).select("column", F.col("n").cast("long").alias("n"), "least", "most", places(F.col("mean"), 2).alias("mean"), "median", places(F.col("sd"), 4).alias("sd"))
+    stats = df.agg(*aggregates).select(F.expr(f"stack({len(columns)}, {stacked}) AS (column, {', '.join(kinds)})"))  # a row for each column
+    pairs = ", ".join(f"'{c}', CAST(`{c}` AS DOUBLE)" for c in columns)
+    cells = df.select(F.expr(f"stack({len(columns)}, {pairs}) AS (column, x)")).where("x IS NOT NULL").join(F.broadcast(stats.select("column", "n", "low", "high")), "column").where("x <= high")
+    # All values under the lower bound count as one that lies there.
+    levels = cells.groupBy("column", "n", F.when(F.col("x") >= F.col("low"), F.col("x")).alias("x")).agg(F.count("*").alias("m"))
+    upto = levels.withColumn("upto", F.sum("m").over(Window.partitionBy("column").orderBy(F.col("x").asc_nulls_first())))
+    middle = [F.min(F.when(F.col("upto") >= place, F.col("x"))) for place in (F.floor((F.col("n") + 1) / 2), F.floor(F.col("n") / 2) + 1)]
+    medians = upto.groupBy("column").agg(((middle[0] + middle[1]) / 2).alias("median"))
+    return stats.join(F.broadcast(medians), "column", "left").select("column", F.col("n").cast("long").alias("n"), "least", "most", places(F.col("mean"), 2).alias("mean"), "median", places(F.col("sd"), 4).alias("sd"))
 
 
 def _numeric_sql(source: str, columns: tuple[str, ...]) -> str:
@@ -164,7 +182,11 @@ def proxies(names: list[str]) -> list[tuple[str, str]]:
     return [(n, PROXY_TOKENS[t]) for n in names for t in PROXY_TOKENS if any(t in part for part in n.lower().split("_"))]
 
 
-@query("proxy_columns", "SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in proxies(list(star.COLUMNS["customer"]))) + ") p(\"column\", stands_for)")
+@query(
+    "proxy_columns",
+    f"""SELECT c AS "column", stands_for FROM (SELECT column_name AS c FROM information_schema.columns WHERE table_name = 'customer') n,
+ (VALUES {", ".join(f"('{t}', '{s}')" for t, s in PROXY_TOKENS.items())}) p(token, stands_for) WHERE len(list_filter(string_split(lower(c), '_'), lambda part: contains(part, token))) > 0""",
+)
 def proxy_columns(spark, sf_dir):
     return spark.createDataFrame(proxies(table(spark, sf_dir, "customer").columns), "column string, stands_for string")
 

@@ -28,6 +28,18 @@ def hash_key(key: str, seed: int) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}|"), F.col(key).cast("string")))
 
 
+#: Rows that a bucket should hold at most, on average.
+BUCKET_ROWS = 1_000_000
+
+
+def digits(n_rows: int) -> int:
+    """Hex digits of a hash that name a bucket: 2 (256 buckets) to 5, so that buckets stay small as tables grow."""
+    found = 2
+    while found < 5 and n_rows > BUCKET_ROWS * 16**found:
+        found += 1
+    return found
+
+
 def ranked(df: DataFrame, order: Column, bucket: Column, strata: tuple[str, ...] = ()) -> DataFrame:
     """Each row's place _rank in the order, within its stratum, and the stratum's size _n.
 
@@ -45,14 +57,29 @@ def ranked(df: DataFrame, order: Column, bucket: Column, strata: tuple[str, ...]
 
 def random_split(df: DataFrame, key: str, seed: int = 42, strata: tuple[str, ...] = ()) -> DataFrame:
     h = hash_key(key, seed)
-    done = ranked(df, F.struct(h, F.col(key)), F.substring(h, 1, 2), strata)
+    done = ranked(df, F.struct(h, F.col(key)), F.substring(h, 1, digits(df.count())), strata)
     return done.withColumn("split", label(F.col("_rank"), F.col("_n"))).drop("_rank", "_n")
 
 
 def temporal_split(df: DataFrame, time: str, key: str) -> DataFrame:
-    """By time, a null time counting as the start of 1970, ties by key; buckets are months."""
-    at = F.coalesce(F.col(time), F.to_timestamp(F.lit("1970-01-01 00:00:00")))
-    done = ranked(df, F.struct(at, F.col(key)), F.date_trunc("month", at))
+    """By time, a null time counting as the start of 1970, ties by key.
+
+    Buckets lie between approximate quantiles of time, and between those of the key where
+    one time fills several of them, so neither a busy month nor one time is a single task.
+    """
+    at = F.coalesce(F.col(time).cast("timestamp"), F.to_timestamp(F.lit("1970-01-01 00:00:00")))
+    n_buckets = max(1, min(512, -(-df.count() // BUCKET_ROWS)))
+    shares = [i / n_buckets for i in range(1, n_buckets)]
+    if shares:
+        seconds, keys = F.unix_micros(at), F.col(key).cast("long")
+        cuts = df.agg(F.percentile_approx(seconds, shares, 100_000).alias("t"), F.percentile_approx(keys, shares, 100_000).alias("k")).first()
+        heavy = sorted({t for t in cuts["t"] if cuts["t"].count(t) > 1})
+        at_most = lambda x, bounds: F.size(F.filter(F.array(*(F.lit(b) for b in bounds)), lambda b: b <= x)) if bounds else F.lit(0)
+        part = F.when(seconds.isin(heavy), at_most(keys, sorted(set(cuts["k"])))).otherwise(0) if heavy else F.lit(0)
+        bucket = F.struct(at_most(seconds, sorted({*cuts["t"], *(h + 1 for h in heavy)})), part)
+    else:
+        bucket = F.struct(F.lit(0), F.lit(0))
+    done = ranked(df, F.struct(at, F.col(key)), bucket)
     return done.withColumn("split", label(F.col("_rank"), F.col("_n"))).drop("_rank", "_n")
 
 

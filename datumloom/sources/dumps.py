@@ -16,8 +16,11 @@ from datumloom.registry import query, table
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that the driver and all executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    """A new path in the folder that the driver and all executors share; in local mode that may be the warehouse."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    base = base or spark.conf.get("spark.sql.warehouse.dir")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
