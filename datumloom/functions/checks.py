@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -55,6 +57,44 @@ def vat_key_fr(siren: Column) -> Column:
     return F.lpad(((12 + 3 * (siren.cast("long") % 97)) % 97).cast("string"), 2, "0")
 
 
+def vat_check_it(ten: Column) -> Column:
+    """The eleventh digit of an Italian VAT number: every second digit doubled, its digits added, modulus 10."""
+    digit = lambda i: F.substring(ten, i + 1, 1).cast("int")
+    doubled = lambda i: digit(i) * 2 - F.when(digit(i) > 4, 9).otherwise(0)
+    total = sum((digit(i) if i % 2 == 0 else doubled(i) for i in range(10)), F.lit(0))
+    return ((10 - total % 10) % 10).cast("string")
+
+
+#: What follows the country in a VAT number, # for a digit; L is a letter of LETTERS, D a digit 0 or 1, N 01 to 99.
+VAT_FORMS = {"DE": "#########", "ES": "L########", "NL": "#########BN", "AT": "U########", "BE": "D#########", "IE": "#######L", "PL": "##########", "SE": "##########01"}
+LETTERS = {"ES": "ABCDEFGHJKLMNPQRSUVW", "IE": "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}
+
+
+def vat_number(country: str, u) -> Column:
+    """A VAT number of one of ten countries; ``u(i)`` is the i-th uniform number of a row."""
+    number = lambda i, n: F.lpad(F.floor(u(i) * 10**n).cast("long").cast("string"), n, "0")
+    if country == "FR":
+        siren = (F.floor(u(0) * 900_000_000) + 100_000_000).cast("long").cast("string")
+        return F.concat(F.lit("FR"), vat_key_fr(siren), siren)
+    if country == "IT":
+        ten = F.concat(number(0, 5), number(1, 5))
+        return F.concat(F.lit("IT"), ten, vat_check_it(ten))
+    parts, form = [F.lit(country)], VAT_FORMS[country]
+    for i, piece in enumerate(re.findall("#{1,5}|[^#]", form)):
+        if piece[0] == "#":
+            parts.append(number(i, len(piece)))
+        elif piece == "L":
+            letters = LETTERS[country]
+            parts.append(F.substring(F.lit(letters), (F.floor(u(i) * len(letters)) + 1).cast("int"), F.lit(1)))
+        elif piece == "D":
+            parts.append(F.floor(u(i) * 2).cast("string"))
+        elif piece == "N":
+            parts.append(F.lpad((F.floor(u(i) * 99) + 1).cast("string"), 2, "0"))
+        else:
+            parts.append(F.lit(piece))
+    return F.concat(*parts)
+
+
 def normalize_gender(value: Column) -> Column:
     low = F.lower(F.trim(value))
     return F.when(low.isin("m", "male", "man"), "M").when(low.isin("f", "female", "woman"), "F")

@@ -88,14 +88,19 @@ def zipf(u: Column, n: int, s: float) -> Column:
     return (F.size(F.filter(steps, lambda c: c <= u)) + 1).cast("int")
 
 
-def poisson(u: Column, mean: float) -> Column:
-    """By the inverse cumulative distribution, to twelve standard deviations above the mean."""
+def poisson_cumulative(mean: float) -> list[float]:
+    """Chances of at most 0, 1, 2, ... events, to twelve standard deviations above the mean."""
     chance, at, out = math.exp(-mean), 0.0, []
     for k in range(int(mean + 12 * math.sqrt(mean) + 12)):
         at += chance
         out.append(at)
         chance *= mean / (k + 1)
-    return F.size(F.filter(F.array(*map(F.lit, out)), lambda c: c <= u)).cast("int")
+    return out
+
+
+def poisson(u: Column, mean: float) -> Column:
+    """By the inverse cumulative distribution."""
+    return F.size(F.filter(F.array(*map(F.lit, poisson_cumulative(mean))), lambda c: c <= u)).cast("int")
 
 
 def long_tail(u: Column, low: int, high: int, skew: float = 2.0) -> Column:

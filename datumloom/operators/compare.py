@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from datumloom.functions.numbers import half_up, places, places_sql, uniform, uniform_sql
 from datumloom.operators.assess import SHIPMENTS, shipments, union
+from datumloom.plans.temporal_rules import pairs_of, statuses_of
 from datumloom.registry import query, table
 from datumloom.sources.dumps import scratch
 
@@ -148,14 +149,6 @@ def grade_result(spark, sf_dir):
     return grade(count(orders), count(second_version(orders)), ["o_orderpriority", "o_orderstatus"])
 
 
-#: Pairs of name endings, the earlier first.
-TEMPORAL_PAIRS = (("created_at", "updated_at"), ("created_at", "shipped_at"), ("started_at", "ended_at"), ("opened_at", "closed_at"), ("ordered_at", "delivered_at"), ("hire_date", "termination_date"), ("start_date", "end_date"))
-
-
-def pairs_of(columns: list[str]) -> list[tuple[str, str]]:
-    return [(a, b) for a, b in TEMPORAL_PAIRS if a in columns and b in columns]
-
-
 def within_row(df: DataFrame) -> DataFrame:
     """Rows whose later column precedes the earlier one, a row for each violated pair."""
     found = pairs_of(df.columns)
@@ -207,6 +200,52 @@ def lifecycle(df: DataFrame, status: str, rules: dict) -> DataFrame:
     return df.select("*", F.explode(F.filter(F.array(*parts), lambda r: r.isNotNull())).alias("rule"))
 
 
+def status_violations(df: DataFrame) -> DataFrame:
+    """Rows that break any of the 74 status rules that the table's columns bring into play, a row for each broken rule."""
+    parts = [
+        F.when((F.col(status) == value) & (F.col(c).isNotNull() if null else F.col(c).isNull()), f"{status}={value}: {c} must be {'null' if null else 'set'}")
+        for status, value, c, null in statuses_of(df.columns)
+    ]
+    broken = F.filter(F.array(*parts), lambda r: r.isNotNull()) if parts else F.array().cast("array<string>")
+    return df.select("*", F.explode(broken).alias("rule"))
+
+
+def as_trades(orders: DataFrame) -> DataFrame:
+    """Orders with the reference's column names for trades, and dates that only sometimes fit the status."""
+    u = lambda what: uniform(17, "orders", what, F.col("o_orderkey"))
+    status = F.when(F.col("o_orderstatus") == "F", "filled").when(F.col("o_orderstatus") == "O", "cancelled").otherwise("partially_filled")
+    date = lambda what, share: F.when(u(what) < share, F.col("o_orderdate") + F.expr("INTERVAL 2 DAYS"))
+    return orders.select("o_orderkey", status.alias("order_status"), date("filled", 0.7).alias("filled_at"), date("settled", 0.4).alias("settlement_date"), date("delivered", 0.2).alias("delivered_at"))
+
+
+_T = lambda what: uniform_sql(17, "orders", what, "o_orderkey")
+_TRADES = f"""(SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'filled' WHEN 'O' THEN 'cancelled' ELSE 'partially_filled' END AS order_status, {_T('filled')} < 0.7 AS filled, {_T('settled')} < 0.4 AS settled, {_T('delivered')} < 0.2 AS delivered FROM orders)"""
+
+
+@query(
+    "status_rules",
+    f"""SELECT o_orderkey, rule FROM {_TRADES} t, (VALUES ('cancelled', 'filled_at', 'null'), ('cancelled', 'settlement_date', 'null'), ('cancelled', 'delivered_at', 'null'), ('filled', 'filled_at', 'set'), ('partially_filled', 'settlement_date', 'null')) r(s, c, must),
+ LATERAL (SELECT 'order_status=' || s || ': ' || c || ' must be ' || must AS rule, CASE c WHEN 'filled_at' THEN filled WHEN 'settlement_date' THEN settled ELSE delivered END AS is_set) v WHERE order_status = s AND is_set = (must = 'null')""",
+)
+def status_rules(spark, sf_dir):
+    """Orders whose dates don't fit their status, by the rules for the columns that they have."""
+    return status_violations(as_trades(table(spark, sf_dir, "orders"))).select("o_orderkey", "rule")
+
+
+_DELIVERY = f"l_shipdate + INTERVAL 1 DAY * (floor({uniform_sql(17, 'lineitem', 'delivery', "l_orderkey || '-' || l_linenumber")} * 12)::INT - 2)"
+
+
+@query("within_row_pairs", f"SELECT l_orderkey, l_linenumber, rule FROM (SELECT l_orderkey, l_linenumber, o_orderdate::TIMESTAMP AS a, l_shipdate::TIMESTAMP AS b, ({_DELIVERY})::TIMESTAMP AS c FROM lineitem JOIN orders ON l_orderkey = o_orderkey) x, (VALUES ('order_date <= ship_date'), ('ship_date <= delivery_date')) r(rule) WHERE CASE rule WHEN 'order_date <= ship_date' THEN b < a ELSE c < b END")
+def within_row_pairs(spark, sf_dir):
+    """Items shipped before their order or delivered before they were shipped: two of the 39 pairs, found by name."""
+    days = (F.floor(uniform(17, "lineitem", "delivery", F.concat_ws("-", "l_orderkey", "l_linenumber")) * 12) - 2).cast("int")
+    items, orders = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
+    rows = items.join(orders, items.l_orderkey == orders.o_orderkey).select(
+        "l_orderkey", "l_linenumber", F.col("o_orderdate").cast("timestamp").alias("order_date"), F.col("l_shipdate").cast("timestamp").alias("ship_date"), (F.col("l_shipdate").cast("timestamp") + F.make_dt_interval(days=days)).alias("delivery_date")
+    )
+    return within_row(rows).select("l_orderkey", "l_linenumber", "rule")
+
+
 _BROKEN = f"SELECT o_orderkey, o_orderstatus, CASE WHEN o_orderstatus = 'F' THEN 'F: closed_at must be set' ELSE o_orderstatus || ': closed_at must be null' END AS rule FROM {_CLOSING} c WHERE (o_orderstatus = 'F') = (closed_at IS NULL)"
 
 

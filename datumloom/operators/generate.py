@@ -241,6 +241,41 @@ def vat_check(spark, sf_dir):
     return rows(spark).select("id", F.concat(F.lit("FR"), checks.vat_key_fr(siren), siren).alias("vat"))
 
 
+def _vn(i: int, n: int, c: str) -> str:
+    return f"lpad(floor({usql('vat', c, i)} * 1e{n})::BIGINT::VARCHAR, {n}, '0')"
+
+
+_FR = f"(floor({usql('vat', 'FR', 0)} * 900000000) + 100000000)::BIGINT"
+_IT = f"{_vn(0, 5, 'IT')} || {_vn(1, 5, 'IT')}"
+_VATS = {
+    "DE": f"'DE' || {_vn(0, 5, 'DE')} || {_vn(1, 4, 'DE')}",
+    "FR": f"'FR' || lpad(((12 + 3 * ({_FR} % 97)) % 97)::VARCHAR, 2, '0') || {_FR}::VARCHAR",
+    "IT": "(SELECT 'IT' || b || ((10 - list_sum(list_transform(range(10), lambda i: CASE WHEN i % 2 = 0 THEN b[i + 1]::INT ELSE (b[i + 1]::INT * 2) // 10 + (b[i + 1]::INT * 2) % 10 END)) % 10) % 10)::INT::VARCHAR FROM (SELECT " + _IT + " AS b) x)",
+    "ES": f"'ES' || substr('ABCDEFGHJKLMNPQRSUVW', floor({usql('vat', 'ES', 0)} * 20)::INT + 1, 1) || {_vn(1, 5, 'ES')} || {_vn(2, 3, 'ES')}",
+    "NL": f"'NL' || {_vn(0, 5, 'NL')} || {_vn(1, 4, 'NL')} || 'B' || lpad((floor({usql('vat', 'NL', 3)} * 99) + 1)::INT::VARCHAR, 2, '0')",
+    "AT": f"'ATU' || {_vn(1, 5, 'AT')} || {_vn(2, 3, 'AT')}",
+    "BE": f"'BE' || floor({usql('vat', 'BE', 0)} * 2)::INT::VARCHAR || {_vn(1, 5, 'BE')} || {_vn(2, 4, 'BE')}",
+    "IE": f"'IE' || {_vn(0, 5, 'IE')} || {_vn(1, 2, 'IE')} || substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ', floor({usql('vat', 'IE', 2)} * 26)::INT + 1, 1)",
+    "PL": f"'PL' || {_vn(0, 5, 'PL')} || {_vn(1, 5, 'PL')}",
+    "SE": f"'SE' || {_vn(0, 5, 'SE')} || {_vn(1, 5, 'SE')} || '01'",
+}
+
+
+@query("vat_numbers", " UNION ALL ".join(f"SELECT id, '{c}' AS country, {sql} AS vat FROM {R}" for c, sql in _VATS.items()))
+def vat_numbers(spark, sf_dir):
+    """A VAT number of each of ten countries in every row, with check digits where the country has them."""
+    made = [F.struct(F.lit(c).alias("country"), checks.vat_number(c, lambda i, c=c: u("vat", c, i)).alias("vat")) for c in _VATS]
+    return rows(spark).select("id", F.explode(F.array(*made)).alias("v")).select("id", "v.*")
+
+
+_CHANCES = numbers.poisson_cumulative(3.5)
+
+
+@query("dist_poisson", f"SELECT id, len(list_filter([{', '.join(f'{c!r}::DOUBLE' for c in _CHANCES)}], lambda c: c <= {usql('d', 'p')}))::INT AS x FROM {R}")
+def dist_poisson(spark, sf_dir):
+    return rows(spark).select("id", numbers.poisson(u("d", "p"), 3.5).alias("x"))
+
+
 @query("business_days", "SELECT day, dayofweek(day) BETWEEN 1 AND 5 AND strftime(day, '%m-%d') NOT IN ('01-01', '05-01', '10-03', '12-25', '12-26') AS is_business FROM (SELECT (DATE '2024-01-01' + i::INT)::DATE AS day FROM range(366) r(i)) t")
 def business_days(spark, sf_dir):
     return spark.range(366).select(F.date_add(F.lit("2024-01-01").cast("date"), F.col("id").cast("int")).alias("day")).withColumn("is_business", checks.business_day(F.col("day")))

@@ -191,6 +191,32 @@ def custom_rules(spark, sf_dir):
     return apply_rules(table(spark, sf_dir, "orders"), RULES, "o_orderkey").select("o_orderkey", "o_orderpriority", "o_orderstatus")
 
 
+SCENARIOS = {
+    "payment_failures": lambda df, intensity: payment_failures(df, "o_orderstatus", "o_totalprice", "o_orderkey", intensity),
+    "custom_rules": lambda df, intensity: apply_rules(df, RULES, "o_orderkey"),
+}
+
+
+def apply_scenarios(df: DataFrame, names: list[tuple[str, str]]) -> DataFrame:
+    """Registered scenarios (name, intensity) on a table one after another, each on what the one before made."""
+    unknown = [n for n, _ in names if n not in SCENARIOS]
+    if unknown:
+        raise ValueError(f"no scenario {unknown[0]!r} among {sorted(SCENARIOS)}")
+    for name, intensity in names:
+        df = SCENARIOS[name](df, intensity)
+    return df
+
+
+_FAILED = f"(SELECT o_orderkey, CASE WHEN f <> '' THEN f ELSE o_orderstatus END AS o_orderstatus, CASE WHEN f <> '' AND {usql('zero')} < 0.3 THEN 0 ELSE o_totalprice END AS o_totalprice, o_orderpriority FROM (SELECT *, {_PF} AS f FROM orders) t)"
+
+
+@query("scenarios_in_order", f"""SELECT o_orderkey, o_totalprice, CASE WHEN o_totalprice > 100000 AND {uniform_sql(SEED, 'rules', 'set_null', 'o_orderkey', 0)} < 0.5 THEN NULL ELSE o_orderpriority END AS o_orderpriority,
+ CASE WHEN o_orderstatus IN ('O', 'P') AND {uniform_sql(SEED, 'rules', 'set_value', 'o_orderkey', 1)} < 0.05 THEN 'H' ELSE o_orderstatus END AS o_orderstatus FROM {_FAILED} p, range(2) r(i) WHERE i = 0 OR {uniform_sql(SEED, 'rules', 'duplicate_row', 'o_orderkey', 2)} < 0.02""")
+def scenarios_in_order(spark, sf_dir):
+    """Failed payments, then the user's rules on top of them."""
+    return apply_scenarios(table(spark, sf_dir, "orders"), [("payment_failures", "medium"), ("custom_rules", "medium")]).select("o_orderkey", "o_totalprice", "o_orderpriority", "o_orderstatus")
+
+
 # Anomalies: each changes a tenth of the rows, labels them and says what it did.
 ANOMALIES = {
     "extreme_value": ("o_totalprice", lambda: F.col("o_totalprice") * 20, "o_totalprice * 20"),

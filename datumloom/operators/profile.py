@@ -258,3 +258,10 @@ def _ladder_sql(source: str, columns: tuple[str, ...]) -> str:
 @query("strategy_ladder", _ladder_sql("orders", star.COLUMNS["orders"]))
 def strategy_ladder(spark, sf_dir):
     return ladder(table(spark, sf_dir, "orders"), star.COLUMNS["orders"])
+
+
+@query("json_fields", "SELECT event_type, count(*) AS n, sum(json_extract_string(props, '$.k')::BIGINT)::BIGINT AS total, count(*) FILTER (WHERE json_extract_string(props, '$.missing') IS NULL) AS n_without FROM events GROUP BY 1")
+def json_fields(spark, sf_dir):
+    """Fields of a JSON column, by event type."""
+    field = lambda path: F.get_json_object("props", path)
+    return table(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.sum(field("$.k").cast("long")).alias("total"), F.count_if(field("$.missing").isNull()).alias("n_without"))
