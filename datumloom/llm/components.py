@@ -8,12 +8,21 @@ from pyspark.sql import functions as F
 from datumloom.llm.common import cut_lineage
 
 
+#: Parts that a node's edges are dealt into, 63 at most.
+SALTS = 32
+
+
 def _least(edges: DataFrame, of: str, to: str) -> DataFrame:
-    """Each edge with the least of its node ``of`` and that node's neighbours ``to``."""
-    # The minimum is combined before the shuffle, so a node with many neighbours is no burden;
-    # in the join its edges are split by the skew handling of adaptive execution.
-    least = edges.groupBy(of).agg(F.least(F.min(to), F.first(of)).alias("least"))
-    return edges.join(least, of)
+    """Each edge with the least of its node ``of`` and that node's neighbours ``to``.
+
+    The minimum is combined before the shuffle, so a node with many neighbours is no
+    burden there. For the join its edges are dealt into parts by a salt, and the least
+    goes to each part that there is (bits of one number), so such a node is many keys.
+    """
+    salted = edges.withColumn("salt", F.pmod(F.xxhash64(to), F.lit(SALTS)).cast("int"))
+    least = salted.groupBy(of).agg(F.least(F.min(to), F.first(of)).alias("least"), F.expr("bit_or(shiftleft(1L, salt))").alias("salts"))
+    there = F.filter(F.array(*map(F.lit, range(SALTS))), lambda i: F.col("salts").bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), i)) != 0)
+    return salted.join(least.select(of, "least", F.explode(there).alias("salt")), [of, "salt"]).drop("salt")
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
