@@ -13,9 +13,10 @@
    within one cluster.
 4. The pairs are verified on full sets, and the links' components are found.
 5. A cluster that still has several components may hide links among pairs that were
-   never tried. There, every pair across components is compared by sketches and, if
-   it survives, on full sets. A large cluster is split into blocks and each pair of
-   blocks is a group of its own, so no task holds the cluster.
+   never tried. There, every pair across components is compared by sketches, and the
+   documents that have a surviving partner are compared on full sets. A large cluster
+   is split into blocks and each pair of blocks is a group of its own, so no task
+   holds the cluster; full sets go only to the groups where they may matter.
 6. All links' components are the result.
 
 A pair of similarity 0.8 shares no band key with a chance of (1 - 0.8^5)^40 = 1.2e-7.
@@ -38,8 +39,8 @@ BANDS, ROWS = 40, 5
 BATCH = 32
 #: Buckets of more members give a star instead of comparing all pairs.
 STAR_FROM = 128
-#: Shingles in a block of a cluster, about.
-BLOCK_SHINGLES = 100_000
+#: Shingles in a block of a cluster, about, and its documents until their square root is more.
+BLOCK_SHINGLES, BLOCK_DOCS = 100_000, 128
 SALTS = 32
 #: Ids of documents with candidates are broadcast up to this number (16 bytes each), else joined by shuffling.
 BROADCAST_IDS = 1_000_000
@@ -239,6 +240,35 @@ def verified(pairs: DataFrame, sets: DataFrame, bounds: list[tuple[int, int]], p
     return pairs.join(left, "a").join(right, "b").select("a", "b", "a_sketch", "b_sketch", "a_hashes", "b_hashes").mapInArrow(check, "a long, b long")
 
 
+def promising(rows: DataFrame, bounds: list[tuple[int, int]], percent: int) -> DataFrame:
+    """Of each pair of blocks, the documents with a partner in another component that sketches don't rule out.
+
+    ``rows`` has cluster, i, j (a pair of its blocks), block, node, component, sketch,
+    size; the result has all but the last two, each document once for a pair of blocks.
+    """
+    names = ["cluster", "i", "j", "block", "node", "component"]
+
+    def filter_(group: pa.Table) -> pa.Table:
+        block, i, j = (group.column(c).to_numpy() for c in ("block", "i", "j"))
+        parts, sizes = group.column("component").to_numpy(), group.column("size").to_numpy()
+        sketch = sketches_of(group.column("sketch"))
+        first, second = np.flatnonzero(block == i), np.flatnonzero(block == j)
+        hopeful = np.zeros(len(block), dtype=bool)
+        for x in first.tolist():
+            others = second[second > x] if i[0] == j[0] else second
+            fit = (100 * np.minimum(sizes[others], sizes[x]) >= percent * np.maximum(sizes[others], sizes[x])) & (parts[others] != parts[x])
+            others = others[fit]
+            alive, _ = surviving(sketch, sketch, np.full(len(others), x), others, bounds)
+            hopeful[others[alive]] = True
+            hopeful[x] |= len(alive) > 0
+        nodes = group.column("node").to_numpy()[hopeful]
+        _, once = np.unique(nodes, return_index=True)  # a document may have several sets
+        return group.select(names).take(pa.array(np.flatnonzero(hopeful)[once]))
+
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.select(*names).schema)
+    return rows.groupBy("cluster", "i", "j").applyInArrow(filter_, fields)
+
+
 def links_across(rows: DataFrame, bounds: list[tuple[int, int]], percent: int) -> DataFrame:
     """Links (a, b) between different components of each cluster, enough to connect whatever is linked.
 
@@ -279,8 +309,9 @@ def in_blocks(clusters: DataFrame) -> DataFrame:
     ``clusters`` has cluster, node, component, n_shingles. A cluster's figures are joined
     to its documents in ``SALTS`` parts, so one large cluster doesn't meet in one task.
     """
-    stats = clusters.groupBy("cluster").agg(F.sum("n_shingles").alias("total"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
-    figures = stats.select("cluster", F.ceil(F.col("total") / BLOCK_SHINGLES).cast("int").alias("n_blocks"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    stats = clusters.groupBy("cluster").agg(F.sum("n_shingles").alias("total"), F.count("*").alias("docs"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
+    n_blocks = F.ceil(F.greatest(F.col("total") / BLOCK_SHINGLES, F.least(F.col("docs") / BLOCK_DOCS, F.sqrt("docs")))).cast("int")
+    figures = stats.select("cluster", n_blocks.alias("n_blocks"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     salted = clusters.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int"))
     rows = salted.join(figures, ["cluster", "salt"]).withColumn("block", F.pmod(F.xxhash64("node", F.lit(1)), F.col("n_blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)).alias("other")
@@ -321,7 +352,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, miss: float
 
     # 2. Candidates.
     banded = nodes.select("node", F.explode("bands").alias("key"))
-    buckets = banded.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("leader")).where("n > 1")
+    # Written, so that both sides of the join are plain exchanges and adaptive execution can split a large bucket.
+    buckets = cut_lineage(banded.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("leader")).where("n > 1"), "bucket-sizes")
     shared = cut_lineage(banded.join(buckets, "key").select("key", "node", "n", "leader"), "buckets")
     sketched = shared.where(F.col("n") <= STAR_FROM).select("key", "node").join(nodes.select("node", "sketch"), "node")
     forest = plausible_pairs(sketched.repartition("key").sortWithinPartitions("key", "node"), bounds)
@@ -353,7 +385,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, miss: float
     # 5. Links that no pair has shown yet.
     placed = clusters.join(settled, "node", "left").select("node", "cluster", F.coalesce("component", "node").alias("component"))
     sized = placed.join(sets.groupBy("node").agg(F.max("n_shingles").alias("n_shingles")), "node")
-    late = cut_lineage(links_across(in_blocks(sized).join(sets, "node"), bounds, percent), "late-links")
+    sketches = sets.select("node", "sketch", F.col("n_shingles").alias("size"))
+    hopeful = cut_lineage(promising(in_blocks(sized).join(sketches, "node"), bounds, percent), "hopeful")
+    late = cut_lineage(links_across(hopeful.join(sets, "node"), bounds, percent), "late-links")
 
     # 6. The result.
     final = components(links.union(late))
