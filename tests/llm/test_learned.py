@@ -108,3 +108,13 @@ def test_toxicity_odd_rows(many, odd, odd_rows, none):
     assert toxicity.grade(none, model).collect() == []
     nothing = toxicity.fit(none, many[1])
     assert all(r.kept for r in toxicity.grade(odd, nothing).collect())
+
+
+def test_an_id_with_many_rows_counts_once(spark):
+    rows = [(i, f"word{i % 7} text {t}") for i in range(60) for t in ([0] if i % 3 else range(50))]
+    marks = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sample = labelled_sample(docs, marks, "quality", 1000).collect()
+    assert sorted((r.doc_id, r.text, r.label) for r in sample) == [(i, f"word{i % 7} text 0", i % 2) for i in range(60) if not out(i)]
+    models = [quality.fit(docs.repartition(n), marks) for n in (1, 7)]
+    assert np.array_equal(models[0].weights, models[1].weights) and models[0].threshold == models[1].threshold
