@@ -21,7 +21,11 @@ from pyspark.sql import functions as F
 from datumloom.llm.common import cut_lineage, pick
 
 DEGREE, ALPHA, BUILD_BEAM, SEARCH_BEAM = 32, 1.2, 64, 96
-SHARD_ROWS, LEAST_SHARDS, QUERY_BLOCK = 8192, 8, 2048
+SHARD_ROWS, LEAST_SHARDS = 8192, 8
+#: Queries farther from a shard's centre than this many times its spread are compared in double precision.
+FAR = 1000
+#: Components of all queries in one block, about (32 MB); each block has a copy of the graphs.
+BLOCK_COMPONENTS = 4_000_000
 
 
 def usable(vector: Column) -> Column:
@@ -37,6 +41,36 @@ def squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.einsum("...i,...i->...", d, d)
 
 
+def plane(exact: np.ndarray) -> tuple[float, np.ndarray, float]:
+    """A largest component, then a centre, then a largest component again: what ``to_plane`` takes."""
+    size = float(np.abs(exact).max(initial=0)) or 1.0
+    centre = (exact / size).mean(axis=0) if len(exact) else np.zeros(exact.shape[1])
+    return size, centre, float(np.abs(exact / size - centre).max(initial=0)) or 1.0
+
+
+def to_plane(exact: np.ndarray, size: float, centre: np.ndarray, spread: float) -> np.ndarray:
+    """Vectors moved and scaled so that those of the shard lie within -1 to 1, whatever their own size.
+
+    Squares neither overflow nor vanish there. A query far outside is held at 1e100.
+    """
+    with np.errstate(over="ignore"):
+        return np.clip((exact / size - centre) / spread, -1e100, 1e100)
+
+
+def distances_to(exact: np.ndarray, point: np.ndarray) -> np.ndarray:
+    """Euclidean distances; where squares leave the range of doubles, of vectors scaled for that."""
+    with np.errstate(over="ignore"):
+        found = squared(exact, point)
+        odd = ~np.isfinite(found) | (found < 1e-290)
+        out = np.sqrt(found)
+        if odd.any():
+            halves = exact[odd] / 2 - point / 2
+            size = np.abs(halves).max(axis=1)
+            size[size == 0] = 1
+            out[odd] = 2 * size * np.sqrt(squared(halves / size[:, None], 0))
+        return out
+
+
 def robust_prune(vectors: np.ndarray, at: np.ndarray, candidates: np.ndarray, degree: int, alpha: float) -> np.ndarray:
     """For each node of ``at`` the neighbours (B, degree) kept of its candidates (B, C); -1 fills up."""
     count = len(at)
@@ -71,7 +105,7 @@ def beam_search(vectors: np.ndarray, edges: np.ndarray, entries: np.ndarray, que
     count = len(queries)
     seen = np.zeros((count, len(vectors)), dtype=bool)
     ids = np.full((count, beam), -1, dtype=np.int32)
-    distances = np.full((count, beam), np.inf, dtype=np.float32)
+    distances = np.full((count, beam), np.inf, dtype=vectors.dtype)
     opened = np.ones((count, beam), dtype=bool)
     entries = entries[:beam]
     ids[:, : len(entries)] = entries
@@ -94,7 +128,7 @@ def beam_search(vectors: np.ndarray, edges: np.ndarray, entries: np.ndarray, que
         fresh[:, 1:] &= found[:, 1:] != found[:, :-1]
         q, c = np.nonzero(fresh)
         seen[active[q], found[q, c]] = True
-        new = np.full(found.shape, np.inf, dtype=np.float32)
+        new = np.full(found.shape, np.inf, dtype=vectors.dtype)
         new[q, c] = squared(vectors[found[q, c]], queries[active[q]])
         all_ids = np.hstack([ids[active], found])
         all_distances = np.hstack([distances[active], new])
@@ -155,7 +189,7 @@ def graphs(vectors: DataFrame, shards: int) -> DataFrame:
         members = [[] for _ in distinct]
         for i, node in enumerate(inverse.ravel().tolist()):
             members[node].append(ids[i].item())
-        edges, entry = build(distinct.astype(np.float32))
+        edges, entry = build(to_plane(distinct, *plane(distinct)).astype(np.float32))
         count = len(distinct)
         return pa.table(
             {
@@ -186,14 +220,19 @@ def search(graph: DataFrame, queries: DataFrame, n_shards: int, n_blocks: int, k
             edges = np.array(nodes.column("edges").to_pylist(), dtype=np.int32)
             members = nodes.column("vec_ids").to_pylist()
             entries = np.flatnonzero(nodes.column("entry").to_numpy()).astype(np.int32)
-            vectors = exact.astype(np.float32)
+            place = plane(exact)
+            vectors = to_plane(exact, *place)
+            single = vectors.astype(np.float32)
             for start in range(0, asked.num_rows, 512):
                 some = asked.slice(start, 512)
                 points = np.array(some.column("vector").to_pylist(), dtype=np.float64)
-                found, _ = beam_search(vectors, edges, entries, points.astype(np.float32), beam)
+                moved, found = to_plane(points, *place), np.empty((len(points), beam), dtype=np.int32)
+                far = np.abs(moved).max(axis=1) > FAR
+                for some_, nodes_ in ((~far, single), (far, vectors)):
+                    found[some_] = beam_search(nodes_, edges, entries, moved[some_].astype(nodes_.dtype), beam)[0]
                 for i, (query, tag) in enumerate(zip(some.column("query_id").to_pylist(), some.column("query_key").to_pylist())):
                     near = found[i][found[i] >= 0]
-                    scores = np.sqrt(squared(exact[near], points[i]))
+                    scores = distances_to(exact[near], points[i])
                     ranked = [(s, v) for s, node in zip(scores.tolist(), near.tolist()) for v in members[node] if v != query]
                     for s, v in sorted(ranked)[:k]:
                         for column, value in zip(out, (query, tag, v, s)):
@@ -226,7 +265,8 @@ def nearest(vectors: DataFrame, every: int = 100, k: int = 10, beam: int = SEARC
     graph = cut_lineage(graphs(kept.withColumn("shard", F.pmod(F.xxhash64("vector", F.lit(n_shards)), F.lit(n_shards)).cast("int")), n_shards), "graph")
 
     asked = rows.where(F.col("vec_id") % every == 0).distinct()
-    n_blocks = max(1, -(-asked.count() // QUERY_BLOCK))
+    components = asked.agg(F.sum(F.size("vector"))).first()[0] or 0
+    n_blocks = max(1, -(-components // BLOCK_COMPONENTS))
     asked = asked.select(
         F.col("vec_id").alias("query_id"),
         F.xxhash64("vector").alias("query_key"),

@@ -57,3 +57,24 @@ def test_odd_rows(spark):
     assert [v for _, v, _ in sorted(got[800])][0] == 801
     assert [v for _, v, _ in sorted(got[800])][1:] == list(range(9))
     assert gs.nearest(df.where("false")).collect() == []
+
+
+def test_vectors_of_any_size_and_place(spark):
+    rng = np.random.default_rng(1)
+    base = rng.normal(size=(600, 16))
+    for size, shift in ((1e25, 0), (1e-25, 0), (1e300, 0), (1e-300, 0), (1.0, 1e6)):
+        x = base * size + shift
+        rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(6000, (x[5] * 1000).tolist())]
+        got = {}
+        for r in gs.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect():
+            got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+        y = np.array([v for _, v in rows]) - shift
+        hits = 0
+        for q in got:
+            d = np.sqrt((((y - y[-1 if q == 6000 else q]) / size) ** 2).sum(1))
+            d[-1 if q == 6000 else q] = np.inf
+            found = sorted(got[q])
+            assert [r for r, _, _ in found] == list(range(1, 11))
+            assert np.allclose([s / size for _, _, s in found], [d[-1 if v == 6000 else v] for _, v, _ in found], rtol=1e-6)
+            hits += len({v for _, v, _ in found} & {rows[i][0] for i in np.argsort(d)[:10]})
+        assert set(got) == {0, 100, 200, 300, 400, 500, 6000} and hits >= 0.95 * 70
