@@ -13,6 +13,7 @@ The index holds the templates only, a few hundred entries, and goes to all tasks
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -100,6 +101,8 @@ for _id in ("BSD", "ISC"):
 
 WORD = re.compile(r"[a-z0-9]+")
 GRAM, WINDOW, BAND = 3, 3, 12
+#: Diagonals that the anchors of one region span at most.
+SPAN = 4 * BAND
 #: Templates of fewer words keep all their trigrams.
 SHORT = 20
 MATCH, MISMATCH, GAP = 2, -1, -1
@@ -124,7 +127,7 @@ class Index(NamedTuple):
     """Word numbers from 1, sorted gram codes, and for each code its (template, place) pairs."""
 
     names: list[str]
-    sequences: list[list[int]]
+    sequences: list[np.ndarray]
     vocabulary: dict[str, int]
     codes: np.ndarray
     places: list[list[tuple[int, int]]]
@@ -141,7 +144,7 @@ def index_of(templates: dict[str, str]) -> Index:
                 code = code * size + vocabulary[w]
             inverted[code].append((t, at))
     codes = sorted(inverted)
-    return Index(list(split), [[vocabulary[w] for w in words] for words in split.values()], vocabulary, np.array(codes, dtype=np.int64), [inverted[c] for c in codes])
+    return Index(list(split), [np.array([vocabulary[w] for w in words], dtype=np.int64) for words in split.values()], vocabulary, np.array(codes, dtype=np.int64), [inverted[c] for c in codes])
 
 
 class Match(NamedTuple):
@@ -152,28 +155,52 @@ class Match(NamedTuple):
     last_word: int
 
 
-def align(template: list[int], document: np.ndarray, offset: int, diagonal: int, band: int) -> tuple[int, int, int] | None:
-    """Matched words and the first and last place in the document of the best local alignment.
+def align(template: np.ndarray, document: np.ndarray, offset: int, diagonal: int, band: int) -> tuple[int, int, int, int] | None:
+    """Score, matched words, and the first and last place in the document of the best local alignment.
 
-    Cells lie at most ``band`` from the diagonal (document place - template place).
-    Each cell holds its score, matches, and the document place where its path began.
+    Cells lie at most ``band`` from the diagonal (document place - template place), so a
+    row of cells is an array over the band. Each cell holds its score, matches, and the
+    document place where its path began; cells without a positive score are empty.
     """
+    width = 2 * band + 1
+    columns = np.arange(width)
+    # The words of all rows, one after another; 0 is a word of no template, -1 a place outside.
+    padded = np.full(len(template) + width - 1, -1, dtype=np.int64)
+    low = diagonal - band - offset  # the document's index in the first row's first cell
+    held = document[max(0, low) : max(0, low + len(padded))]
+    padded[max(0, -low) : max(0, -low) + len(held)] = held
+    score, matches, begun = (np.zeros(width, dtype=np.int64) for _ in range(3))
     best, found = 0, None
-    before: dict[int, tuple[int, int, int]] = {}
     for t, word in enumerate(template):
-        row: dict[int, tuple[int, int, int]] = {}
-        for d in range(max(offset, t + diagonal - band), min(offset + len(document), t + diagonal + band + 1)):
-            score, matches, begun = before.get(d - 1, (0, 0, d))
-            same = document[d - offset] == word
-            cell = (score + (MATCH if same else MISMATCH), matches + same, begun if score > 0 else d)
-            for beside in (before.get(d), row.get(d - 1)):
-                if beside and beside[0] + GAP > cell[0]:
-                    cell = (beside[0] + GAP, beside[1], beside[2])
-            if cell[0] > 0:
-                row[d] = cell
-                if same and cell[0] > best:
-                    best, found = cell[0], (int(cell[1]), cell[2], d)
-        before = row
+        row = padded[t : t + width]
+        place = columns + t + diagonal - band
+        same = row == word
+        # From the cell before in both, which lies in the same column of the row above ...
+        value = score + np.where(same, MATCH, MISMATCH)
+        count = np.where(score > 0, matches, 0) + same
+        start = np.where(score > 0, begun, place)
+        # ... or from above alone, the template's word missing in the document ...
+        above = np.append(score[1:], 0) + GAP
+        better = (above > value) & (above > 0)
+        value = np.where(better, above, value)
+        count = np.where(better, np.append(matches[1:], 0), count)
+        start = np.where(better, np.append(begun[1:], 0), start)
+        same &= ~better
+        value[row < 0] = 0
+        # ... or from the left, words inserted in the document: the best value less a gap for each.
+        reach = value - GAP * columns
+        top = np.maximum.accumulate(reach)
+        source = np.maximum.accumulate(np.where(reach == top, columns, 0))
+        source = np.where(value >= top + GAP * columns, columns, source)
+        inserted = source != columns
+        value, count, start = top + GAP * columns, count[source], start[source]
+        value[(value <= 0) | (row < 0)] = 0
+        score, matches, begun = value, count, start
+        ends = np.where(same & ~inserted, value, 0)
+        at = int(ends.argmax())
+        if ends[at] > best:
+            best = int(ends[at])
+            found = best, int(count[at]), int(start[at]), int(place[at])
     return found
 
 
@@ -203,8 +230,9 @@ def scan(ids: np.ndarray, index: Index, least_coverage: float, band: int = BAND)
         counts = np.bincount(sequence, minlength=size)
         anchors.sort()
         groups: list[list[tuple[int, int]]] = []
-        for anchor in anchors:  # neighbours by diagonal, so a repeated licence makes several regions
-            if groups and anchor[0] - groups[-1][-1][0] <= band:
+        # Neighbours by diagonal, up to a span, so that a licence repeated any number of times makes many small regions.
+        for anchor in anchors:
+            if groups and anchor[0] - groups[-1][-1][0] <= band and anchor[0] - groups[-1][0][0] <= SPAN:
                 groups[-1].append(anchor)
             else:
                 groups.append([anchor])
@@ -219,19 +247,21 @@ def scan(ids: np.ndarray, index: Index, least_coverage: float, band: int = BAND)
                 continue
             result = align(sequence, ids[start:end], start, (low + high) // 2, wide)
             if result:
-                matched, first, last = result
+                _, matched, first, last = result
                 if matched >= needed:
                     found.append(Match(template, matched, matched / len(sequence), first, last))
                 left = [a for a in group if a[1] < first]
                 right = [a for a in group if a[1] > last]
                 regions.extend(x for x in ((left, least, first), (right, last + 1, most)) if x[0])
-    kept: list[Match] = []
     # Matched words less those unmatched in the template and inserted in the document.
     gain = lambda m: 3 * m.matched - len(index.sequences[m.template]) - (m.last_word - m.first_word + 1)
+    kept: list[Match] = []
     for m in sorted(found, key=lambda m: (-gain(m), -m.coverage, m.first_word, m.template)):
-        if all(m.last_word < k.first_word or m.first_word > k.last_word for k in kept):
-            kept.append(m)
-    return sorted(kept, key=lambda m: m.first_word)
+        # Kept matches don't overlap, so only the neighbours in order of place can overlap with this one.
+        at = bisect_left(kept, m.first_word, key=lambda k: k.first_word)
+        if (at == 0 or kept[at - 1].last_word < m.first_word) and (at == len(kept) or kept[at].first_word > m.last_word):
+            kept.insert(at, m)
+    return kept
 
 
 def license_matches(

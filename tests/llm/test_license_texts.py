@@ -1,3 +1,5 @@
+import time
+
 import numpy as np
 import pytest
 
@@ -33,3 +35,58 @@ GNU = "This program is free software{0} you can redistribute it and/or modify it
 def test_siblings_are_told_apart(text, want):
     found = names(f"Some words before. {text} And others behind.")
     assert len(found) == 1 and found[0][0].removesuffix("-statement").removesuffix("-notice").removesuffix("-name") == want
+
+
+def plain_score(template, document):
+    """The best local alignment's score that ends in a match, over all cells."""
+    best, before = 0, [0] * (len(document) + 1)
+    for word in template:
+        row = [0]
+        for d, other in enumerate(document, 1):
+            step = scan.MATCH if word == other else scan.MISMATCH
+            row.append(max(0, before[d - 1] + step, before[d] + scan.GAP, row[d - 1] + scan.GAP))
+            if word == other:
+                best = max(best, before[d - 1] + step)
+        before = row
+    return best
+
+
+def test_alignment_against_all_cells():
+    rng = np.random.default_rng(3)
+    for _ in range(300):
+        template, document = rng.integers(1, 5, rng.integers(1, 12)), rng.integers(0, 5, rng.integers(1, 15))
+        offset = int(rng.integers(0, 4))
+        got = scan.align(template, document, offset, offset, 16)
+        assert (got[0] if got else 0) == plain_score(template.tolist(), document.tolist())
+        if got:
+            _, matched, first, last = got
+            assert offset <= first <= last < offset + len(document) and matched <= last - first + 1
+            # Each match adds 2 at most, and what the span holds beside matches takes 1 at least.
+            assert got[0] <= 2 * matched - (last - first + 1 - matched)
+
+
+def test_one_word_edits_of_every_template_are_found():
+    index = scan.index_of(scan.TEMPLATES)
+    missed = []
+    for name, text in scan.TEMPLATES.items():
+        words = scan.words_of(text)
+        if not 2 * scan.GRAM < len(words) <= 25:  # in shorter ones an edit may leave no trigram
+            continue
+        for i in range(len(words)):
+            for edited in ([*words[:i], "qqq", *words[i + 1 :]], [*words[:i], *words[i + 1 :]], [*words[:i], "qqq", *words[i:]]):
+                covered = sum(w != "qqq" for w in edited) / len(words)
+                ids = np.array([index.vocabulary.get(w, 0) for w in ["x", *edited, "y"]], dtype=np.int64)
+                if covered >= 0.75 and not scan.scan(ids, index, 0.75):
+                    missed.append((name, i, edited))
+    assert missed == []
+
+
+def test_repeated_statements_take_linear_time_and_are_all_found():
+    index = scan.index_of(scan.TEMPLATES)
+    took = []
+    for n in (100, 1600):
+        ids = np.array([index.vocabulary.get(w, 0) for w in scan.words_of(scan.TEMPLATES["MIT-statement"]) * n], dtype=np.int64)
+        began = time.process_time()
+        assert len(scan.scan(ids, index, 0.75)) == n
+        took.append(time.process_time() - began)
+    assert took[1] < 40 * took[0]
