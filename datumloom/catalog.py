@@ -1,8 +1,8 @@
 """Importing this module registers every query of the library."""
 
-from datumloom.operators import assess, compare, comply, discover, generate, pack, perturb, privacy, profile, relational, split, steps
+from datumloom.operators import assess, compare, comply, discover, generate, infer, pack, perturb, privacy, profile, relational, split, steps
 from datumloom.registry import ORACLES, QUERIES
 from datumloom.sources import dumps, tables
 from datumloom.streaming import simulate, windows
 
-__all__ = ["ORACLES", "QUERIES", "assess", "compare", "comply", "discover", "dumps", "generate", "pack", "perturb", "privacy", "profile", "relational", "simulate", "split", "steps", "tables", "windows"]
+__all__ = ["ORACLES", "QUERIES", "assess", "compare", "comply", "discover", "dumps", "generate", "infer", "pack", "perturb", "privacy", "profile", "relational", "simulate", "split", "steps", "tables", "windows"]
