@@ -107,6 +107,29 @@ STATEMENTS: dict[str, tuple[str, str]] = {
         """SELECT o_orderstatus, o_orderpriority, count(*) AS n, CAST(grouping(o_orderstatus) AS INT) AS g_status, CAST(grouping(o_orderpriority) AS INT) AS g_priority
         FROM orders GROUP BY GROUPING SETS ((o_orderstatus, o_orderpriority), (o_orderstatus), ())""",
     ),
+    "right_outer_join": (
+        "nation supplier",
+        "SELECT n_name, s_suppkey FROM supplier RIGHT JOIN nation ON s_nationkey = n_nationkey AND s_acctbal > 5000",
+    ),
+    "cross_join_small": (
+        "region nation",  # a fixed 5 by 25 rows
+        "SELECT r_name, n_name, r_regionkey = n_regionkey AS belongs FROM region CROSS JOIN nation",
+    ),
+    "rollup_totals": (
+        "orders",
+        "SELECT o_orderstatus, o_orderpriority, count(*) AS n, CAST(sum(CAST(o_totalprice AS DECIMAL(18, 2))) AS DOUBLE) AS total FROM orders GROUP BY ROLLUP (o_orderstatus, o_orderpriority)",
+    ),
+    "cube_counts": (
+        "lineitem",
+        "SELECT l_returnflag, l_linestatus, count(*) AS n, CAST(grouping(l_returnflag) AS INT) AS g_flag, CAST(grouping(l_linestatus) AS INT) AS g_status FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)",
+    ),
+    "parent_lookup": (
+        "customer nation",  # a parent by reference, or else the one at the row number modulo the number of parents
+        """SELECT c_custkey, coalesce(a.n_name, b.n_name) AS n_name, a.n_name IS NULL AS by_place
+        FROM (SELECT c_custkey, CASE WHEN c_custkey % 10 = 0 THEN c_nationkey + 1000 ELSE c_nationkey END AS k, c_custkey % (SELECT count(*) FROM nation) AS place FROM customer) c
+        LEFT JOIN nation a ON a.n_nationkey = c.k
+        LEFT JOIN (SELECT n_name, row_number() OVER (ORDER BY n_nationkey) - 1 AS place FROM nation) b ON b.place = c.place""",
+    ),
     "credibility_counts": (
         "customer orders lineitem",
         """SELECT c.c_custkey, coalesce(o.n_orders, 0) AS n_orders, coalesce(o.n_urgent, 0) AS n_urgent, coalesce(l.n_items, 0) AS n_items, coalesce(l.n_returned, 0) AS n_returned FROM customer c
