@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from datumloom.plans import star
 from datumloom.plans.schema import tables_of
 from datumloom.registry import query, table
 
@@ -258,10 +259,20 @@ def pack_round_trip(spark, sf_dir):
     return load_pack(spark, path)[0]["customer"]
 
 
-@query("catalog_scan", "SELECT * FROM (VALUES ('customer', 'c_acctbal', 'double'), ('customer', 'c_custkey', 'bigint'), ('customer', 'c_mktsegment', 'string'), ('customer', 'c_name', 'string'), ('customer', 'c_nationkey', 'int'), ('region', 'r_name', 'string'), ('region', 'r_regionkey', 'int')) v(\"table\", \"column\", type)")
+_LINKED = " ".join(f"WHEN table_name = '{t}' AND column_name = '{c}' THEN 'references {p}.{k}'" for t, c, p, k in star.FOREIGN_KEYS)
+_PRIMARY = " ".join(f"WHEN table_name = '{t}' AND column_name = '{c}' THEN 'primary'" for t, c in star.PRIMARY_KEYS.items())
+
+
+@query(
+    "catalog_scan",
+    f"""SELECT table_name AS "table", column_name AS "column", CASE data_type WHEN 'VARCHAR' THEN 'string' WHEN 'INTEGER' THEN 'int' ELSE lower(data_type) END AS type, CASE {_PRIMARY} {_LINKED} END AS key
+ FROM information_schema.columns WHERE table_name IN ('customer', 'lineitem', 'region')""",
+)
 def catalog_scan(spark, sf_dir):
-    """Columns and types of tables."""
-    return spark.createDataFrame([(t, c, k) for t in ("customer", "region") for c, k in table(spark, sf_dir, t).dtypes], "table string, column string, type string")
+    """Columns, types, and the keys that the schema declares, of tables; metadata alone."""
+    links = {(t, c): f"references {p}.{k}" for t, c, p, k in star.FOREIGN_KEYS}
+    rows = [(t, c, k.removesuffix("_ntz"), "primary" if star.PRIMARY_KEYS.get(t) == c else links.get((t, c))) for t in ("customer", "lineitem", "region") for c, k in table(spark, sf_dir, t).dtypes]
+    return spark.createDataFrame(rows, "table string, column string, type string, key string")
 
 
 @query("row_counts", "SELECT 'customer' AS \"table\", count(*) AS n FROM customer UNION ALL SELECT 'orders', count(*) FROM orders")
