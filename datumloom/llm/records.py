@@ -17,8 +17,8 @@ document id, the frame's offset, and the number of ids before this document in t
 same file. It lets a reader fetch any record alone. ``manifest.json`` names the committed files with their
 record and id counts; files of failed or repeated attempts aren't in it.
 
-Both directions are Spark data sources: ``df.write.format("token_records")`` and
-``spark.read.format("token_records")``.
+Both directions are Spark data sources: ``df.write.format("token_records")`` encodes
+texts and writes them, ``spark.read.format("token_records")`` gives their ids.
 """
 
 from __future__ import annotations
@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
 from datumloom.llm.common import pick, slices
-from datumloom.llm.tokens import WordEncoder, tokenizer_path
+from datumloom.llm.tokens import ENCODE_ROWS, WordEncoder, tokenizer_path
 
 MASK = 0xA282EAD8
 POLYNOMIAL = 0x82F63B78  # CRC-32C, reflected
@@ -138,6 +138,8 @@ def masked(crc: np.ndarray) -> np.ndarray:
 
 def frames(payloads: list[bytes]) -> list[bytes]:
     """Each payload with its length and the two checksums."""
+    if any(len(p) > MAX_PAYLOAD for p in payloads):
+        raise ValueError("a payload is longer than a reader takes")
     heads = [len(p).to_bytes(8, "little") for p in payloads]
     of_heads, of_payloads = masked(crc32c(heads)), masked(crc32c(payloads))
     return [b"".join((h, int(a).to_bytes(4, "little"), p, int(b).to_bytes(4, "little"))) for h, a, p, b in zip(heads, of_heads, payloads, of_payloads)]
@@ -189,10 +191,14 @@ class Written(WriterCommitMessage):
 
 
 class TokenRecordWriter(DataSourceArrowWriter):
-    """Writes a data and an index file for each partition, in the order of its rows."""
+    """Writes a data and an index file for each partition, in the order of its rows.
+
+    Rows have doc_id and text, which is encoded here, so ids pass through no other process.
+    """
 
     def __init__(self, options: dict[str, str]):
         self.path, self.width = options["path"], int(options.get("width", "2"))
+        self.tokenizer, self.end_id = options["tokenizer"], int(options.get("end_id", "1"))
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         from pyspark import TaskContext
@@ -200,17 +206,18 @@ class TokenRecordWriter(DataSourceArrowWriter):
         task = TaskContext.get()
         # Every attempt has files of its own; the driver's manifest names those of one attempt.
         done = Written(task.partitionId(), f"part-{task.partitionId():06d}-{uuid.uuid4().hex[:12]}")
+        encoder, kind = WordEncoder.of(self.tokenizer), "<u2" if self.width == 2 else "<u4"
         system, root = filesystem(self.path)
         system.create_dir(root, recursive=True)
         with system.open_output_stream(f"{root}/{done.name}.rec") as data, system.open_output_stream(f"{root}/{done.name}.idx") as index:
-            for batch in slices(iterator):
+            for batch in slices(iterator, ENCODE_ROWS):
                 doc_ids = batch.column("doc_id").to_pylist()
-                tokens = [np.frombuffer(b, dtype="<u4") for b in batch.column("ids").to_pylist()]
-                kind = "<u2" if self.width == 2 else "<u4"
-                if self.width == 2 and any(len(t) and t.max() > 0xFFFF for t in tokens):
+                ids, bounds = encoder.encode_batch([t or "" for t in batch.column("text").to_pylist()], self.end_id)
+                if self.width == 2 and len(ids) and ids.max() > 0xFFFF:
                     raise ValueError("an id needs more than 2 bytes")
-                framed = frames([head(i) + t.astype(kind).tobytes() for i, t in zip(doc_ids, tokens)])
-                counts, sizes = np.array([len(t) for t in tokens], dtype=np.int64), np.array([len(f) for f in framed], dtype=np.int64)
+                packed, cuts = ids.astype(kind).tobytes(), (self.width * bounds).tolist()
+                framed = frames([head(i) + packed[a:b] for i, a, b in zip(doc_ids, cuts, cuts[1:])])
+                counts, sizes = np.diff(bounds), np.array(list(map(len, framed)), dtype=np.int64)
                 rows = np.zeros(len(framed), dtype=INDEX)
                 rows["known"] = [i is not None for i in doc_ids]
                 rows["doc_id"] = [i or 0 for i in doc_ids]
@@ -222,6 +229,7 @@ class TokenRecordWriter(DataSourceArrowWriter):
                 done.n_records += len(framed)
                 done.n_ids += int(counts.sum())
                 done.n_bytes += int(sizes.sum())
+        encoder.forget()
         if not done.n_records:
             for kind in ("rec", "idx"):
                 system.delete_file(f"{root}/{done.name}.{kind}")
@@ -291,7 +299,7 @@ class TokenRecordReader(DataSourceReader):
 
 
 class TokenRecords(DataSource):
-    """Spark's way to these files. Options: path, width (2 or 4 bytes an id, for writing)."""
+    """Spark's way to these files. Options: path; for writing also tokenizer (its file), end_id, width (2 or 4 bytes an id)."""
 
     @classmethod
     def name(cls) -> str:
@@ -307,23 +315,8 @@ class TokenRecords(DataSource):
         return TokenRecordWriter(self.options)
 
 
-def tokenize(docs: DataFrame, path: str | None = None, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and ids (little-endian unsigned 32-bit, ``end_id`` last) of every whole text; null texts are empty."""
-    path = path or tokenizer_path()
-    end = end_id.to_bytes(4, "little")
-
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder.of(path)
-        for batch in slices(batches):
-            ids = [encoder.encode(t or "") + end for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
-
-    rows = pick(docs, id_col, text_col).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(encode, "doc_id long, ids binary")
-
-
-def write_records(docs: DataFrame, folder: str, path: str | None = None, width: int = 2, n_files: int | None = None) -> None:
-    """Encode all documents and write their records in ascending order of doc_id.
+def write_records(docs: DataFrame, folder: str, path: str | None = None, width: int = 2, n_files: int | None = None, end_id: int = 1) -> None:
+    """Encode all whole texts, each with ``end_id`` last, and write their records in ascending order of doc_id.
 
     The texts are sorted by ranges of ids, so each file holds one range; then each
     task encodes its texts and writes its own file. The number of files follows the
@@ -336,10 +329,11 @@ def write_records(docs: DataFrame, folder: str, path: str | None = None, width:
     """
     spark = docs.sparkSession
     spark.dataSource.register(TokenRecords)
-    rows = pick(docs, "doc_id", "text")
+    rows = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), "text")
     keys = [F.col("doc_id"), F.xxhash64("text")]  # hashes, since sampled range keys go to the driver
     ranged = rows.repartitionByRange(n_files, *keys) if n_files else rows.repartitionByRange(*keys)
-    tokenize(ranged.sortWithinPartitions(*keys), path).write.format("token_records").option("width", width).mode("append").save(folder)
+    options = {"width": width, "tokenizer": path or tokenizer_path(), "end_id": end_id}
+    ranged.sortWithinPartitions(*keys).write.format("token_records").options(**options).mode("append").save(folder)
 
 
 def read_records(spark: SparkSession, folder: str) -> DataFrame:

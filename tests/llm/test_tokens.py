@@ -28,7 +28,8 @@ def odd_texts(n):
 
 def test_words_ids_are_the_librarys(library, documents, odd_rows):
     encoder = WordEncoder(tokenizer_path(), max_words=500)
-    texts = [r.text for r in documents.collect()] + odd_texts(2000) + [r[1] or "" for r in odd_rows] + ["a<|endoftext|>b"]
+    texts = [r.text for r in documents.collect()] + odd_texts(2000) + [r[1] or "" for r in odd_rows] 
+    texts += ["a<|endoftext|>b", "<|startoftext|>", "x <|endoftext|><|endoftext|> ", "it's o'clock' 'S ..'s", "ΟΔΟΣ ΣΑΣ", "a\u0378b C\u0301 <|endoftext|>", "²³x½ 1a2b", "word…!! word!!…"]
     for t, e in zip(texts, library.encode_batch(texts, add_special_tokens=False)):
         assert np.frombuffer(encoder.encode(t), "<u4").tolist() == e.ids
 
@@ -133,6 +134,24 @@ def test_packing_odd_rows(odd, odd_rows, none, library):
     assert packing.pack_documents(none).collect() == []
 
 
+def test_equal_rows_are_spread_over_blocks(spark, monkeypatch):
+    monkeypatch.setattr(packing, "BLOCK_ROWS", 500)
+    equal = spark.range(10_000).selectExpr("cast(null as long) as doc_id", "'the same text' as text")
+    rows = packing.pack_documents(equal, capacity=64).collect()
+    blocks = Counter(r.sequence_id // packing.STRIDE for r in rows)
+    assert len(rows) == 10_000 and len(blocks) == 20 and max(blocks.values()) < 700
+    held = defaultdict(list)
+    for r in rows:
+        held[r.sequence_id].append((r.offset, r.length))
+    assert all(sorted(h) == [(4 * i, 4) for i in range(len(h))] and len(h) <= 16 for h in held.values())
+
+
+def test_a_payload_that_no_reader_takes_is_refused(monkeypatch):
+    monkeypatch.setattr(records, "MAX_PAYLOAD", 10)
+    with pytest.raises(ValueError):
+        records.frames([b"x" * 11])
+
+
 def test_suffix_array_sorts_to_the_depth():
     rng = np.random.default_rng(0)
     codes = rng.integers(1, 4, 300).astype(np.int32)
@@ -145,9 +164,12 @@ def test_pieces_are_the_librarys(documents, odd_rows):
     model = sentencepiece.SentencePieceProcessor(model_file=suffix_pieces.model_path())
     encoder = suffix_pieces.PieceEncoder(suffix_pieces.model_path(), max_segments=2000)
     texts = [r.text for r in documents.collect()] + odd_texts(1000) + [r[1] or "" for r in odd_rows] + ["", " ", "  a  b ", "a" * 1000, "the" * 200, "<s> <unk> <0x41>", "\0 x\0"]
-    for t, ids in zip(texts, encoder.encode_batch(texts), strict=True):
-        assert np.frombuffer(ids, "<u4").tolist() == model.encode(t)
-        assert encoder.decode(ids) == model.decode(model.encode(t))
+    texts += [" a", "a ", "  ", "a   b", "▁", "▁ a▁▁b ", " \n x"]
+    ids, bounds = encoder.encode_batch(texts)
+    decoded = encoder.decode_batch(ids, bounds)
+    for t, low, high, d in zip(texts, bounds[:-1], bounds[1:], decoded, strict=True):
+        assert ids[low:high].tolist() == model.encode(t)
+        assert d == model.decode(model.encode(t))
 
 
 def test_pieces_of_odd_rows(odd, odd_rows, none):
