@@ -118,3 +118,27 @@ def test_an_id_with_many_rows_counts_once(spark):
     assert sorted((r.doc_id, r.text, r.label) for r in sample) == [(i, f"word{i % 7} text 0", i % 2) for i in range(60) if not out(i)]
     models = [quality.fit(docs.repartition(n), marks) for n in (1, 7)]
     assert np.array_equal(models[0].weights, models[1].weights) and models[0].threshold == models[1].threshold
+
+
+def test_severity_by_hand_and_rising_with_toxic_words(spark, many):
+    docs, labels = many
+    model = toxicity.fit(docs, labels)
+    toxic = {r.doc_id for r in labels.where("toxic = 1").collect()}
+    # A toxic word of a held-out document: the one of most weight among its features.
+    text = next(r.text for r in docs.orderBy("doc_id").collect() if r.doc_id in toxic and out(r.doc_id))
+    weight = lambda w: sum(model.weights[model.vocabulary[p]] for p in toxicity.parts(w) if p in model.vocabulary)
+    words = toxicity.WORD.findall(text.lower())
+    worst, plain = max(words, key=weight), [w for w in words if abs(weight(w)) < 0.01][:20]
+    texts = [" ".join(plain + [worst] * n) for n in (0, 1, 3, 9)]
+    rows = toxicity.grade(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).orderBy("doc_id").collect()
+    severities = [r.expected_severity for r in rows]
+    assert severities == sorted(severities) and severities[0] < 0.5 < severities[-1]
+    for text, row in zip(texts, rows):
+        found = {}
+        for w in toxicity.WORD.findall(text):
+            for p in toxicity.parts(w):
+                if p in model.vocabulary:
+                    found[p] = found.get(p, 0) + 1
+        strength = sum(model.weights[model.vocabulary[p]] * (1 + np.log(n)) for p, n in found.items())
+        chances = 1 / (1 + np.exp(model.thresholds - strength))
+        assert np.isclose(row.expected_severity, chances.sum()) and np.isclose(row.p_toxic, chances[0]) and row.kept == (chances[0] < model.cut)

@@ -33,3 +33,10 @@ def test_odd_rows_pass_every_stage(spark, odd, none, sf):
             assert out.columns == list(corpus_pipeline.COLUMNS)
             out.collect()
         corpus_pipeline.STAGES[-1][1](spark, docs, sf).collect()
+
+
+def test_different_texts_of_a_kept_id_stay(spark, odd, odd_rows, sf):
+    out = corpus_pipeline.keep_one_of_each_group(spark, odd, sf).collect()
+    assert sorted(r.text for r in out if r.doc_id == 10) == ["one id", "two texts"]
+    assert [r.text for r in out if r.doc_id == 9] == ["repeated row"]
+    assert sum(r.doc_id is None for r in out) == 2
