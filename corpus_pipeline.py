@@ -39,15 +39,16 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group: five-word shingles, similarity of at least 0.8.
 
-    The document with the group's least id stays. Rows that repeat a kept id stay once,
-    the one with the least text. Documents with a null id can't be grouped and stay.
+    The document with the group's least id stays. Rows that repeat a kept id and its text
+    stay once; different texts of one kept id all stay, since an id is one document.
+    Documents with a null id can't be grouped and stay.
     """
     docs = pick(docs, *COLUMNS)
     found = near_dedup.near_duplicates(docs, k=5, percent=80)
     dropped = found.where("not kept").select("doc_id").distinct()
     left = docs.join(dropped, "doc_id", "left_anti")
-    named = left.where("doc_id is not null").groupBy("doc_id").agg(F.min(F.struct("text", "lang", "source", "n_chars")).alias("row"))
-    return named.select("doc_id", "row.*").unionByName(left.where("doc_id is null")).select(*COLUMNS)
+    named = left.where("doc_id is not null").groupBy("doc_id", "text").agg(F.min(F.struct("lang", "source", "n_chars")).alias("row"))
+    return named.select("doc_id", "text", "row.*").unionByName(left.where("doc_id is null")).select(*COLUMNS)
 
 
 def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
