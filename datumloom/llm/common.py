@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Callable, Hashable, Iterator
 from typing import Generic, TypeVar
@@ -38,10 +39,13 @@ def uniform(*parts: Column | str) -> Column:
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder's path below the folder that the driver and all executors share.
 
-    The cluster names it in ``spark.checkpoint.dir``. Where that is unset (tests,
-    local mode), the folder lies in the warehouse.
+    The cluster names it in ``spark.checkpoint.dir``. Where that is unset, the folder
+    lies in the warehouse in local mode, and elsewhere it is an error.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    base = base or spark.conf.get("spark.sql.warehouse.dir")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -100,6 +104,9 @@ class Memory(Generic[K, V]):
         self.young: dict[K, V] = {}
         self.old: dict[K, V] = {}
 
+    def clear(self) -> None:
+        self.young, self.old = {}, {}
+
     def values(self, keys: list[K]) -> list[V]:
         """The value of each of these distinct keys, in order; all new ones are learned in one call. A value is never None."""
         found = list(map(self.young.get, keys))

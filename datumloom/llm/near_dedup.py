@@ -40,7 +40,7 @@ BATCH = 32
 #: Buckets of more members give a star instead of comparing all pairs.
 STAR_FROM = 128
 #: Shingles in a block of a cluster, about, and its documents until their square root is more.
-BLOCK_SHINGLES, BLOCK_DOCS = 100_000, 128
+BLOCK_SHINGLES, BLOCK_DOCS = 100_000, 256
 SALTS = 32
 #: Ids of documents with candidates are broadcast up to this number (16 bytes each), else joined by shuffling.
 BROADCAST_IDS = 1_000_000

@@ -117,6 +117,7 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = 2048, end_i
             columns = list(zip(*out)) if out else [[]] * 6
             types = [pa.int64()] * 5 + [pa.binary()]
             yield pa.RecordBatch.from_arrays(list(map(pa.array, columns, types))[: 5 + with_ids], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids"][: 5 + with_ids])
+        encoder.forget()
 
     return rows.mapInArrow(cut, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids binary" * with_ids)
 

@@ -7,6 +7,8 @@ are its words' ids in order: the same ids as encoding the text, for far less wor
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import json
 import os
 import re
@@ -23,7 +25,7 @@ from datumloom.llm.common import Memory, taken
 # Fixed value: the expression of word parts that this module knows how to apply.
 PARTS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Texts that are encoded together; more share more words, and take more memory.
-ENCODE_ROWS = 2000
+ENCODE_ROWS = 1000
 #: Beyond these characters, some may be unknown to this Python's Unicode.
 FAR = re.compile("[^\0-ɏ]")
 
@@ -59,7 +61,7 @@ def splits_at_spaces(config: dict) -> bool:
 
 
 class WordEncoder:
-    """Ids of whole texts; bounded memories of words' and word parts' ids, kept while the process lives.
+    """Ids of whole texts; bounded memories of words' and word parts' ids, kept until they are given back.
 
     Most of the library's time for a word goes into tracking offsets through its
     normalizer. For the kind of tokenizer that ``splits_at_spaces`` knows, texts are
@@ -89,11 +91,19 @@ class WordEncoder:
 
     @classmethod
     def of(cls, path: str) -> WordEncoder:
-        """The process's encoder for this file; later tasks of the same worker find its words again."""
+        """The process's encoder for this file; reading its vocabulary takes about a second."""
         if path not in cls._kept:
             cls._kept[path] = cls(path)
         return cls._kept[path]
 
+    def forget(self) -> None:
+        """Give back the memory of words, which a worker would hold through other stages."""
+        self.words.clear()
+        self.parts.clear()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(AttributeError, OSError):  # the C library's, where it has this
+            ctypes.CDLL(None).malloc_trim(0)
+
     def encode_parts(self, parts: list[str]) -> list[bytes]:
         tokenize, bytes_of, out = self.tokenizer.model.tokenize, self.bytes_of, []
         for part in parts:
