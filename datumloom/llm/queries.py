@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from datumloom.llm import compression, graph_search, license_scan, near_dedup, packing, pairwise_quality, records, sharding, suffix_pieces, toxicity
+from datumloom.llm import compression, conversation_trie, graph_search, license_scan, near_dedup, packing, pairwise_quality, records, sharding, suffix_pieces, toxicity
 from datumloom.llm.common import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -155,3 +155,58 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_suffix_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's SentencePiece ids and their decoding: doc_id, n_tokens, ids_crc32, decoded_crc32."""
     return suffix_pieces.digests(suffix_pieces.encode(table(spark, sf_dir, "documents")))
+
+
+@query(
+    "op12_prefix_trie",
+    r"""WITH RECURSIVE crc_step AS (
+  SELECT list(c ORDER BY i) AS steps FROM (
+    SELECT i, list_reduce(list_prepend(i::BIGINT, range(8)),
+                          lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c
+    FROM range(256) AS r(i))
+),
+t AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(length(coalesce(role, ''))::VARCHAR || ':' || coalesce(role, '') || coalesce(text, ''))) AS place
+  FROM conversations WHERE conv_id IS NOT NULL
+),
+c AS (
+  SELECT conv_id, conv_id - conv_id % 20 AS base,
+         xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(hex(encode(conv_id::VARCHAR)), '..'), lambda h: ('0x' || h)::BIGINT)),
+                         lambda c, b: xor(c >> 8, steps[(xor(c, b) & 255) + 1])), 4294967295) % 4 AS h
+  FROM (SELECT DISTINCT conv_id FROM t), crc_step
+),
+rebuilt AS (
+  SELECT c.conv_id, 0 AS part, t.place, t.role, t.text FROM c JOIN t ON t.conv_id = c.base AND t.place <= c.h
+  UNION ALL
+  SELECT c.conv_id, 1, t.place, t.role, t.text FROM c JOIN t ON t.conv_id = c.conv_id AND t.place > c.h
+),
+visits AS (
+  SELECT conv_id, list([role, text]) OVER (PARTITION BY conv_id ORDER BY part, place) AS path,
+         length(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS words,
+         row_number() OVER (PARTITION BY conv_id ORDER BY part DESC, place DESC) = 1 AS ends
+  FROM rebuilt
+  UNION ALL
+  SELECT conv_id, [], 0, conv_id NOT IN (SELECT conv_id FROM rebuilt) FROM c
+),
+nodes AS (
+  SELECT path, min(conv_id) AS conv_id, count(*) AS n_convs, min(words) AS words,
+         sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE ends), '')) AS ends_sha256
+  FROM visits GROUP BY path
+),
+below AS (
+  SELECT list_slice(path, 1, d) AS path, sum(leaf) AS n_leaves, sum((n_convs - 1) * words) AS saved
+  FROM (SELECT path, n_convs, words, path NOT IN (SELECT list_slice(path, 1, len(path) - 1) FROM nodes WHERE len(path) > 0) AS leaf,
+               unnest(range(0, len(path) + 1)) AS d FROM nodes)
+  GROUP BY 1
+),
+children AS (SELECT list_slice(path, 1, len(path) - 1) AS path, count(*) AS n FROM nodes WHERE len(path) > 0 GROUP BY 1)
+SELECT n.conv_id, len(n.path)::BIGINT AS depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(k.n, 0) AS n_children,
+       b.n_leaves::BIGINT AS n_leaves, b.saved::BIGINT AS saved_tokens, n.ends_sha256
+FROM nodes n JOIN below b ON b.path = n.path LEFT JOIN children k ON k.path = n.path
+LEFT JOIN nodes p ON len(n.path) > 0 AND p.path = list_slice(n.path, 1, len(n.path) - 1)""",
+)
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The trie of all rebuilt conversations: conv_id, depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, ends_sha256."""
+    turns = conversation_trie.turns_of(table(spark, sf_dir, "conversations"))
+    return conversation_trie.trie(conversation_trie.with_shared_heads(turns))

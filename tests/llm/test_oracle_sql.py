@@ -10,7 +10,9 @@ def test_queries_equal_their_sql(spark, sf, tmp_path):
     docs.coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
-    assert set(ORACLES) == {"op1_shard_interleave", "op9_near_dedup"}
+    spark.read.parquet(f"{sf}/conversations.parquet").write.parquet(str(tmp_path / "conversations.parquet"))
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM read_parquet('{tmp_path}/conversations.parquet/*.parquet')")
+    assert set(ORACLES) == {"op1_shard_interleave", "op9_near_dedup", "op12_prefix_trie"}
     for name, sql in ORACLES.items():
         df = QUERIES[name](spark, str(tmp_path))
         result = con.execute(sql)
