@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from datumloom.llm import compression, conversation_trie, graph_search, license_scan, near_dedup, packing, pairwise_quality, records, sharding, suffix_pieces, toxicity
+from datumloom.llm import compression, conversation_trie, graph_search, license_scan, near_dedup, packing, pairwise_quality, records, sharding, suffix_pieces, token_alignment, toxicity
 from datumloom.llm.common import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -210,3 +210,9 @@ def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The trie of all rebuilt conversations: conv_id, depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, ends_sha256."""
     turns = conversation_trie.turns_of(table(spark, sf_dir, "conversations"))
     return conversation_trie.trie(conversation_trie.with_shared_heads(turns))
+
+
+@query("op13_token_alignment")
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both tokenizers' tokens of every document aligned: doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256."""
+    return token_alignment.link_figures(table(spark, sf_dir, "documents"))
