@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from datumloom.llm import compression, conversation_trie, graph_search, license_scan, near_dedup, packing, pairwise_quality, records, sharding, suffix_pieces, token_alignment, toxicity
+from datumloom.llm import compression, conversation_trie, graph_search, license_scan, near_dedup, packing, pairwise_quality, records, sharding, simhash, suffix_pieces, token_alignment, toxicity
 from datumloom.llm.common import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -216,3 +216,9 @@ def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Both tokenizers' tokens of every document aligned: doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256."""
     return token_alignment.link_figures(table(spark, sf_dir, "documents"))
+
+
+@query("op11_simhash_dedup")
+def op11_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose fingerprints differ in at most 2 bits: doc_id, fingerprint, component_id."""
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"), k=3, distance=2)
