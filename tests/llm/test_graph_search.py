@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 
 from datumloom.llm import graph_search as gs
 
@@ -33,8 +34,8 @@ def test_recall_and_scores(spark):
 def test_recall_in_one_large_shard():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(3000, 32)).astype(np.float32)
-    edges, entry = gs.build(x)
-    found, _ = gs.beam_search(x, edges, np.array([entry], dtype=np.int32), x[:100], gs.SEARCH_BEAM)
+    edges, entries = gs.build(x)
+    found, _ = gs.beam_search(x, edges, entries, x[:100], gs.SEARCH_BEAM)
     true = np.argsort(((x[:100, None] - x[None]) ** 2).sum(-1), axis=1)[:, :10]
     assert np.mean([len(set(a) & set(b[:10].tolist())) / 10 for a, b in zip(true, found)]) > 0.9
 
@@ -78,3 +79,50 @@ def test_vectors_of_any_size_and_place(spark):
             assert np.allclose([s / size for _, _, s in found], [d[-1 if v == 6000 else v] for _, v, _ in found], rtol=1e-6)
             hits += len({v for _, v, _ in found} & {rows[i][0] for i in np.argsort(d)[:10]})
         assert set(got) == {0, 100, 200, 300, 400, 500, 6000} and hits >= 0.95 * 70
+
+
+def recall(spark, x, every=100):
+    """The share of true ten nearest found, by brute force in double precision; equal scores count alike."""
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in gs.nearest(df, every=every).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.score, r.vec_id))
+    hits, total = 0, 0
+    for q in range(0, len(x), every):
+        true = gs.distances_to(x, x[q])
+        found = sorted(got[q])
+        assert [r for r, _, _ in found] == list(range(1, 11))
+        assert all(s == true[v] and v != q for _, s, v in found)
+        assert [(s, v) for _, s, v in found] == sorted((s, v) for _, s, v in found)
+        limit = np.sort(np.delete(true, q))[9]
+        hits += sum(s <= limit for _, s, _ in found)
+        total += 10
+    return hits / total
+
+
+def mixed(name):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(2000, 16))
+    if name.startswith("outlier"):
+        x[77] *= float(name.split()[1])
+        x[100] *= float(name.split()[1])
+    elif name == "eight outliers":
+        x[rng.choice(2000, 8, replace=False)] *= 1e20
+    elif name == "two groups":
+        x[::2] += 1e9
+    elif name == "twenty tight groups":
+        x = 100 * rng.normal(size=(20, 16))[rng.integers(20, size=2000)] + 1e-6 * x
+    elif name == "hundred tight groups":
+        x = 100 * rng.normal(size=(100, 16))[rng.integers(100, size=2000)] + 1e-6 * x
+    elif name == "all sizes":
+        x *= 10.0 ** rng.uniform(-300, 300, size=(2000, 1))
+    elif name == "sizes nearby":
+        x *= 10.0 ** rng.uniform(-8, 8, size=(2000, 1))
+    return x
+
+
+@pytest.mark.parametrize("name", ["outlier 1e3", "outlier 1e10", "outlier 1e20", "outlier 1e30", "outlier 1e300", "eight outliers", "two groups", "twenty tight groups", "hundred tight groups", "all sizes", "sizes nearby"])
+def test_mixed_sizes_and_places(spark, name, monkeypatch):
+    assert recall(spark, mixed(name)) >= 0.95
+    monkeypatch.setattr(gs, "LEAST_SHARDS", 1)
+    assert recall(spark, mixed(name)) >= 0.95
