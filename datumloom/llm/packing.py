@@ -1,17 +1,17 @@
 """Packing documents into fixed windows by Karmarkar-Karp multiway differencing.
 
 Documents are cut into pieces: full windows stand alone, and what is left of a
-document is cut into near-equal pieces of a quarter window at most, so that several
-pieces share each window. Pieces are dealt by a hash into blocks of about a hundred
+document is cut into uneven pieces of a quarter window at most, so that several
+pieces share each window, and of many sizes even where all documents are equally long. Pieces are dealt by a hash into blocks of about a hundred
 windows. In each block, differencing starts from one partial partition for each piece
 (the piece in one window, nothing in the others) and keeps merging the two partial
 partitions with the largest imbalances, the fullest window of one with the emptiest
 of the other. The windows come out near-equal; if the fullest exceeds the capacity,
-the window count rises by one and the block is solved again.
+the window count rises by what is too much and the block is solved again.
 
 Blocks bound what a task holds, whatever the corpus size: the hash, of a piece and its
-place in the written pieces, spreads even equal rows, and the number of blocks follows
-the number of tokens.
+number among equal ones, spreads even equal rows, and the number of blocks follows the
+number of tokens. Neither depends on how the rows lie in files.
 """
 
 from __future__ import annotations
@@ -36,11 +36,22 @@ BLOCK_ROWS = 4096
 STRIDE = 1 << 20
 
 
-def cut_lengths(n: int, capacity: int) -> list[int]:
-    """Full windows, then near-equal pieces of a quarter window at most."""
+def cut_lengths(n: int, capacity: int, seed: int = 0) -> list[int]:
+    """Full windows, then uneven pieces of a quarter window at most: two or more, unless a thirty-second of a window holds all.
+
+    Cuts lie up to a quarter of a piece from even ones, by a hash of ``seed``.
+    """
     full, rest = divmod(n, capacity)
-    k = -(-rest // max(1, capacity // 4))
-    return [capacity] * full + [rest // k + (i < rest % k) for i in range(k)]
+    longest = max(1, capacity // 4)
+    short = min(longest, max(capacity // 32, 16))
+    # Pieces of three fifths of the longest on average, so that none outgrows it.
+    k = max(2, -(-rest * 5 // (longest * 3))) if rest > short else 1
+    cuts = [0]
+    for i in range(1, k):
+        seed = (seed * 1_103_515_245 + 12_345) & 0x7FFFFFFF
+        cuts.append((2 * i * rest + (seed % 1001 - 500) * rest // 1000) // (2 * k))
+    cuts.append(rest)
+    return [capacity] * full + [b - a for a, b in zip(cuts, cuts[1:]) if b > a]
 
 
 def difference(sizes: np.ndarray, m: int) -> np.ndarray:
@@ -90,9 +101,10 @@ def windows_for(sizes: np.ndarray, capacity: int) -> np.ndarray:
     m = max(1, -(-int(sizes.sum()) // capacity))
     while True:
         window = difference(sizes, m)
-        if np.bincount(window, weights=sizes).max() <= capacity:
+        excess = int(np.maximum(np.bincount(window, weights=sizes) - capacity, 0).sum())
+        if not excess:
             return window
-        m += 1
+        m += max(1, excess // capacity)
 
 
 def pieces(docs: DataFrame, path: str | None = None, capacity: int = 2048, end_id: int = 1, with_ids: bool = False) -> DataFrame:
@@ -110,7 +122,7 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = 2048, end_i
             out = []
             for doc_id, first, last in zip(batch.column(0).to_pylist(), bounds[:-1].tolist(), bounds[1:].tolist()):
                 at = first
-                for length in cut_lengths(last - first, capacity):
+                for length in cut_lengths(last - first, capacity, zlib.crc32(ids[first:last])):
                     piece = ids[at : at + length]
                     out.append((doc_id, at - first, length, zlib.crc32(piece), last - first, piece.tobytes() if with_ids else None))
                     at += length
@@ -139,8 +151,9 @@ def pack(cut: DataFrame, capacity: int = 2048) -> DataFrame:
     if total["n"] and not 1 <= total["least"] <= total["most"] <= capacity:
         raise ValueError("a piece doesn't fit into a window")
     n_blocks = max(1, -(-total["tokens"] // (BLOCK_WINDOWS * capacity)), -(-total["n"] // BLOCK_ROWS))
-    # With their places in the written rows, any number of equal rows is spread evenly too.
-    dealt = cut.withColumn("_block", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", F.monotonically_increasing_id()), F.lit(n_blocks)))
+    # Equal rows are counted and numbered, so any number of them is spread evenly too.
+    numbered = cut.groupBy(*cut.columns).agg(F.count("*").alias("_n")).select(*cut.columns, F.explode(F.sequence(F.lit(1), F.col("_n"))).alias("_n"))
+    dealt = numbered.withColumn("_block", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", "_n"), F.lit(n_blocks))).drop("_n")
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in cut.schema)
 
     def solve(block: pa.Table) -> pa.Table:

@@ -146,6 +146,32 @@ def test_equal_rows_are_spread_over_blocks(spark, monkeypatch):
     assert all(sorted(h) == [(4 * i, 4) for i in range(len(h))] and len(h) <= 16 for h in held.values())
 
 
+@pytest.mark.parametrize("length", [100, 121, 300, 342, 410, 415, 600, 683, 820, 1000, 1366, 1500, 1900, 2000])
+def test_documents_of_one_length_leave_little_padding(length):
+    rng = np.random.default_rng(length)
+    n = 128 * 2048 // length
+    sizes = np.array([x for _ in range(n) for x in packing.cut_lengths(length, 2048, int(rng.integers(2**32)))])
+    window = packing.windows_for(sizes, 2048)
+    assert np.bincount(window, weights=sizes).max() <= 2048
+    assert 1 - n * length / ((window.max() + 1) * 2048) < 0.04
+
+
+def test_pieces_cover_a_document():
+    for capacity in (1, 2, 7, 33, 2048):
+        for n in (1, 2, 31, 64, 65, 127, 512, 513, 2047, 2048, 2049, 5000):
+            for seed in (0, 1, 2**32 - 1):
+                cut = packing.cut_lengths(n, capacity, seed)
+                assert sum(cut) == n and min(cut) >= 1
+                assert all(x == capacity or x <= max(1, capacity // 4) for x in cut)
+
+
+def test_windows_do_not_depend_on_the_files(spark, documents, monkeypatch):
+    monkeypatch.setattr(packing, "BLOCK_WINDOWS", 4)
+    cut = packing.pieces(documents.union(documents.limit(20)))
+    one, many = (sorted(map(tuple, packing.pack(packing.cut_lineage(cut.repartition(n), "pieces")).collect())) for n in (1, 7))
+    assert one == many
+
+
 def test_a_payload_that_no_reader_takes_is_refused(monkeypatch):
     monkeypatch.setattr(records, "MAX_PAYLOAD", 10)
     with pytest.raises(ValueError):
