@@ -11,7 +11,9 @@
    these are pruned in step 4. Either way the pairs are linear in the bucket.
 3. The pairs' connected components are clusters: whatever pair may be similar lies
    within one cluster.
-4. The pairs are verified on full sets, and the links' components are found.
+4. The pairs are pruned by sketches, those left are verified on full sets, and the links'
+   components are found. A node in many pairs, such as a star's centre, sends its set once
+   to each salted part of them, and they stream past it.
 5. A cluster that still has several components may hide links among pairs that were
    never tried. There, every pair across components is compared by sketches, and the
    documents that have a surviving partner are compared on full sets. A large cluster
@@ -220,24 +222,59 @@ def is_similar(common: np.ndarray, a: np.ndarray, b: np.ndarray, percent: int) -
     return 100 * common >= percent * (a + b - common)
 
 
+def beside(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+    """The rows (node, ...) of each pair's node ``a``, as (a, salt, ...): once for each salted part of its pairs that there is.
+
+    ``pairs`` has a, b and salt, which follows b. So a node in many pairs is many keys.
+    """
+    there = pairs.select("a", "salt").distinct()
+    return there.join(rows.withColumnRenamed("node", "a"), "a")
+
+
+def salted(pairs: DataFrame) -> DataFrame:
+    return pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int"))
+
+
+def plausible(pairs: DataFrame, sets: DataFrame, bounds: list[tuple[int, int]]) -> DataFrame:
+    """The pairs (a, b) that their sketches don't rule out."""
+
+    def prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            every = np.arange(batch.num_rows)
+            alive, _ = surviving(sketches_of(batch.column("x")), sketches_of(batch.column("y")), every, every, bounds)
+            yield batch.select(["a", "b"]).take(pa.array(alive))
+
+    parts = salted(pairs)
+    right = parts.join(sets.select(F.col("node").alias("b"), F.col("sketch").alias("y")), "b")
+    left = beside(parts, sets.select("node", F.col("sketch").alias("x")))
+    return right.join(left, ["a", "salt"]).select("a", "b", "x", "y").mapInArrow(prune, "a long, b long").distinct()
+
+
 def verified(pairs: DataFrame, sets: DataFrame, bounds: list[tuple[int, int]], percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough; pruned by sketches first."""
-    left = sets.select(F.col("node").alias("a"), F.col("sketch").alias("a_sketch"), F.col("hashes").alias("a_hashes"))
-    right = sets.select(F.col("node").alias("b"), F.col("sketch").alias("b_sketch"), F.col("hashes").alias("b_hashes"))
+    """The pairs (a, b) whose full sets are similar enough; pruned by sketches before any set is sent.
+
+    A part's sets arrive with those of its node ``a`` first, and the others pass by.
+    """
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, firsts = None, []
         for batch in batches:
-            every = np.arange(batch.num_rows)
-            alive, _ = surviving(sketches_of(batch.column("a_sketch")), sketches_of(batch.column("b_sketch")), every, every, bounds)
-            a_hashes, b_hashes = batch.column("a_hashes"), batch.column("b_hashes")
             good = []
-            for i in alive.tolist():
-                x, y = np.frombuffer(a_hashes[i].as_py(), dtype=np.uint64), np.frombuffer(b_hashes[i].as_py(), dtype=np.uint64)
-                if is_similar(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y), percent):
+            for i, (a, salt, b) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("a", "salt", "b")))):
+                hashes = np.frombuffer(batch.column("hashes")[i].as_py(), dtype=np.uint64)
+                if (a, salt) != part:
+                    part, firsts = (a, salt), []
+                if b is None:
+                    firsts.append(hashes)
+                elif any(is_similar(len(np.intersect1d(x, hashes, assume_unique=True)), len(x), len(hashes), percent) for x in firsts):
                     good.append(i)
             yield batch.select(["a", "b"]).take(pa.array(good, pa.int64()))
 
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "a_sketch", "b_sketch", "a_hashes", "b_hashes").mapInArrow(check, "a long, b long")
+    left = salted(cut_lineage(plausible(pairs, sets, bounds), "plausible"))
+    firsts = beside(left, sets.select("node", "hashes")).select("a", "salt", F.lit(None).cast("long").alias("b"), "hashes")
+    others = left.join(sets.select(F.col("node").alias("b"), "hashes"), "b").select("a", "salt", "b", "hashes")
+    ordered = firsts.union(others).repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
+    return ordered.mapInArrow(check, "a long, b long")
 
 
 def promising(rows: DataFrame, bounds: list[tuple[int, int]], percent: int) -> DataFrame:

@@ -142,3 +142,11 @@ def test_severity_by_hand_and_rising_with_toxic_words(spark, many):
         strength = sum(model.weights[model.vocabulary[p]] * (1 + np.log(n)) for p, n in found.items())
         chances = 1 / (1 + np.exp(model.thresholds - strength))
         assert np.isclose(row.expected_severity, chances.sum()) and np.isclose(row.p_toxic, chances[0]) and row.kept == (chances[0] < model.cut)
+
+
+def test_one_character_changes_no_feature_much():
+    text = "SOME Words in Capitals AND others. " * 30
+    for extra in ("\u0130", "\u03a3", "\u1e9e", "x", "X"):
+        assert quality.capitals(text + extra) - quality.capitals(text) == (extra != extra.lower())
+    assert quality.capitals("\u0130A\u03a3b") == 3 and quality.capitals("") == 0
+    assert np.allclose(quality.features(text + "\u0130"), quality.features(text + "X"), atol=0.2)

@@ -107,3 +107,17 @@ def test_components(spark):
             up[max(x, y)] = min(x, y)
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {x: root(x) for x in up}
+
+
+def test_a_large_star_of_long_texts(spark, monkeypatch):
+    """Near copies of one text in one bucket: its centre's set is sent to salted parts, and nothing is lost."""
+    monkeypatch.setattr(nd, "STAR_FROM", 8)
+    rng = random.Random(9)
+    base = [f"w{rng.randrange(5000)}" for _ in range(1500)]
+    rows = []
+    for i in range(150):
+        words = list(base)
+        for _ in range(rng.choice([3, 40, 90])):
+            words[rng.randrange(len(words))] = f"x{rng.randrange(10**6)}"
+        rows.append((i, " ".join(words)))
+    compare(spark, rows, 2)

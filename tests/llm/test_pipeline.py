@@ -5,7 +5,7 @@ from datumloom.llm.queries import ORACLES, QUERIES
 
 def test_stages_and_names():
     assert [name for name, _ in corpus_pipeline.STAGES] == ["toxicity", "quality classifier", "near duplicates", "packing"]
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
     assert set(ORACLES) <= set(QUERIES)
 
 
