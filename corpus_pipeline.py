@@ -45,10 +45,17 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     """
     docs = pick(docs, *COLUMNS)
     found = near_dedup.near_duplicates(docs, k=5, percent=80)
-    dropped = found.where("not kept").select("doc_id").distinct()
-    left = docs.join(dropped, "doc_id", "left_anti")
-    named = left.where("doc_id is not null").groupBy("doc_id", "text").agg(F.min(F.struct("lang", "source", "n_chars")).alias("row"))
-    return named.select("doc_id", "text", "row.*").unionByName(left.where("doc_id is null")).select(*COLUMNS)
+    dropped = cut_lineage(found.where("not kept").select("doc_id").distinct(), "dropped")
+    left = docs.join(_small(dropped), "doc_id", "left_anti")
+    # Only ids that occur twice can have repeated rows; the other texts aren't shuffled.
+    twice = cut_lineage(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated-ids")
+    named = left.join(_small(twice), "doc_id", "left_semi").groupBy("doc_id", "text").agg(F.min(F.struct("lang", "source", "n_chars")).alias("row"))
+    return named.select("doc_id", "text", "row.*").unionByName(left.join(_small(twice), "doc_id", "left_anti")).select(*COLUMNS)
+
+
+def _small(ids: DataFrame) -> DataFrame:
+    """Ids, broadcast up to a number of them (16 bytes each), else joined by shuffling."""
+    return F.broadcast(ids) if ids.count() <= near_dedup.BROADCAST_IDS else ids
 
 
 def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
