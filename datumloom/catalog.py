@@ -1,11 +1,11 @@
 """Importing this module registers every query of the library."""
 
-from datumloom.operators import assess, compare, comply, discover, generate, infer, pack, perturb, privacy, profile, relational, sketches, split, steps, timed_joins
+from datumloom.operators import assess, audit, capture, cardinality, compare, comply, detect, discover, generate, infer, mask_tables, pack, perturb, privacy, profile, relational, sketches, split, steps, timed_joins
 from datumloom.registry import ORACLES, QUERIES
 from datumloom.sources import dumps, tables
 from datumloom.streaming import machines, simulate, windows
 
 __all__ = [
-    "ORACLES", "QUERIES", "assess", "compare", "comply", "discover", "dumps", "generate", "infer", "machines", "pack", "perturb", "privacy", "profile",
+    "ORACLES", "QUERIES", "assess", "audit", "capture", "cardinality", "compare", "comply", "detect", "discover", "dumps", "generate", "infer", "machines", "mask_tables", "pack", "perturb", "privacy", "profile",
     "relational", "simulate", "sketches", "split", "steps", "tables", "timed_joins", "windows",
 ]
