@@ -29,9 +29,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from datumloom.llm.common import Memory, cut_lineage, pick, slices, taken
-from datumloom.llm.tokens import ENCODE_ROWS, byte_characters, tokenizer_path
+from datumloom.llm.tokens import byte_characters, tokenizer_path
 
 SPACE = "▁"
+#: Texts that are aligned together, and new chunks that the libraries encode together: what they return takes a hundred bytes a token.
+ALIGN_ROWS, LEARN_CHUNKS = 500, 8192
 #: White space other than ASCII's: texts that have some are encoded as one chunk.
 FAR_SPACE = re.compile(r"[^\S \t\n\v\f\r]")
 #: Parts of a pair's documents, in counting and in the join of a table that isn't broadcast.
@@ -58,7 +60,7 @@ class Aligner:
 
     _kept: dict[tuple[str, str], Aligner] = {}
 
-    def __init__(self, path_a: str, path_b: str, max_chunks: int = 150_000):
+    def __init__(self, path_a: str, path_b: str, max_chunks: int = 100_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         import sentencepiece
         from tokenizers import Tokenizer
@@ -102,7 +104,8 @@ class Aligner:
         """Alignments of new chunks, each of which begins at a cut."""
         # A chunk that ends in white space is a text's last: joined to others, its spaces would be theirs. B reads its own space mark as a space.
         alone = [c[-1:].isspace() or SPACE in c for c in chunks]
-        together = iter(self.aligned([c for c, x in zip(chunks, alone) if not x]))
+        joined = [c for c, x in zip(chunks, alone) if not x]
+        together = iter([a for i in range(0, len(joined), LEARN_CHUNKS) for a in self.aligned(joined[i : i + LEARN_CHUNKS])])
         return [self.aligned([c])[0] if x else next(together) for c, x in zip(chunks, alone)]
 
     def aligned(self, chunks: list[str]) -> list[Aligned]:
@@ -211,7 +214,7 @@ def align(docs: DataFrame, path_a: str | None = None, path_b: str | None = None)
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         aligner = Aligner.of(path_a, path_b)
-        for batch in slices(batches, ENCODE_ROWS):
+        for batch in slices(batches, ALIGN_ROWS):
             columns = aligner.batch(batch.column(2).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns.values()], names=["row", "doc_id", *columns])
         aligner.chunks.clear()
