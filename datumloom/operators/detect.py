@@ -178,11 +178,11 @@ def percent(share: float) -> int:
     return int(100 * share + 0.5)
 
 
-def detect(tables: dict[str, DataFrame]) -> list[Detection]:
-    """A detection for each column of each table."""
+def detect(tables: dict[str, DataFrame], known: dict[str, dict[str, Facts]] | None = None) -> list[Detection]:
+    """A detection for each column of each table; facts that are known already aren't counted again."""
     out = []
     for name, df in tables.items():
-        seen = facts(df)
+        seen = known[name] if known else facts(df)
         parents = {c: (p, k) for child, c, p, k in star.FOREIGN_KEYS if child == name}
         out += [weigh(f.name, f.dataType, name, seen[f.name], f.name == star.PRIMARY_KEYS.get(name), parents.get(f.name)) for f in df.schema]
     return out

@@ -25,6 +25,8 @@ class Column:
     nullable: bool = True
     primary: bool = False
     references: tuple[str, str] | None = None
+    #: The only values that a check or an enumerated type allows.
+    values: tuple[str, ...] = ()
 
 
 @dataclass
@@ -58,11 +60,18 @@ def _parts(body: str) -> list[str]:
     return [*out, body[last:].strip()]
 
 
+def _texts(items: str) -> tuple[str, ...]:
+    """The quoted texts of a list."""
+    return tuple(t.replace("''", "'") for t in re.findall(r"'((?:[^']|'')*)'", items))
+
+
 def tables_of(ddl: str) -> list[Table]:
-    """Tables of CREATE TABLE statements, with inline, table-level and ALTER TABLE references."""
+    """Tables of CREATE TABLE statements, with inline, table-level and ALTER TABLE references, and the values that checks and enumerated types allow."""
     ddl = re.sub(r"--[^\n]*", "", ddl)
     found: dict[str, Table] = {}
     name = r'"?(\w+)"?'
+    listed = {m[1].lower(): _texts(m[2]) for m in re.finditer(rf"CREATE\s+TYPE\s+(?:\w+\.)?{name}\s+AS\s+ENUM\s*\((.*?)\)\s*;", ddl, re.I | re.S)}
+    check = rf"CHECK\s*\(\s*\(?\s*{name}(?:::\w+)?\s*(?:IN\s*\(|=\s*ANY\s*\()(.*)"
     for m in re.finditer(rf"CREATE\s+TABLE\s+(?:IF\s+NOT\s+EXISTS\s+)?(?:\w+\.)?{name}\s*\((.*?)\)\s*;", ddl, re.I | re.S):
         t = found[m[1]] = Table(m[1])
         for part in _parts(m[2]):
@@ -71,12 +80,17 @@ def tables_of(ddl: str) -> list[Table]:
             elif p := re.match(r"(?:CONSTRAINT\s+\w+\s+)?PRIMARY\s+KEY\s*\((.*?)\)", part, re.I):
                 for c in t.columns:
                     c.primary |= c.name in [x.strip(' "') for x in p[1].split(",")]
+            elif k := re.match(rf"(?:CONSTRAINT\s+\w+\s+)?{check}", part, re.I | re.S):
+                for c in t.columns:
+                    c.values = _texts(k[2]) if c.name == k[1] else c.values
             elif not re.match(r"(CONSTRAINT|UNIQUE|CHECK)\b", part, re.I):
                 c = re.match(rf"{name}\s+((?:double\s+precision|timestamp\s+with(?:out)?\s+time\s+zone|\w+)(?:\s*\([^)]*\))?(?:\[\])?)\s*(.*)", part, re.I | re.S)
                 rest = c[3]
                 ref = re.search(rf"REFERENCES\s+{name}\s*\({name}\)", rest, re.I)
                 primary = bool(re.search(r"PRIMARY\s+KEY", rest, re.I))
-                t.columns.append(Column(c[1], spark_type(c[2]), not (primary or re.search(r"NOT\s+NULL", rest, re.I)), primary, (ref[1], ref[2]) if ref else None))
+                allowed = re.search(check, rest, re.I | re.S)
+                values = _texts(c[2]) if c[2].lower().startswith("enum") else _texts(allowed[2]) if allowed else listed.get(c[2].lower(), ())
+                t.columns.append(Column(c[1], spark_type(c[2]), not (primary or re.search(r"NOT\s+NULL", rest, re.I)), primary, (ref[1], ref[2]) if ref else None, values))
     for m in re.finditer(rf"ALTER\s+TABLE\s+(?:ONLY\s+)?(?:\w+\.)?{name}\s+ADD\s+(?:CONSTRAINT\s+\w+\s+)?FOREIGN\s+KEY\s*\({name}\)\s*REFERENCES\s+(?:\w+\.)?{name}\s*\({name}\)", ddl, re.I):
         next(c for c in found[m[1]].columns if c.name == m[2]).references = (m[3], m[4])
     return list(found.values())
