@@ -108,7 +108,21 @@ def _entropy_sql(source: str, columns: tuple[str, ...]) -> str:
 
 @query("column_entropy", _entropy_sql("orders", star.COLUMNS["orders"]))
 def column_entropy(spark, sf_dir):
-    return entropy(frequencies(table(spark, sf_dir, "orders"), star.COLUMNS["orders"]))
+    return entropies(table(spark, sf_dir, "orders"), star.COLUMNS["orders"])
+
+
+def categorical(df: DataFrame, columns: tuple[str, ...]) -> tuple[str, ...]:
+    """The columns that may have at most half as many distinct values as rows, by one aggregate of approximate counts with room for their error.
+
+    The others, such as keys and texts, need not be counted by value.
+    """
+    row = df.agg(F.count("*").alias("rows"), *(F.approx_count_distinct(c, 0.02).alias(f"d{i}") for i, c in enumerate(columns)), *(F.count(c).alias(f"n{i}") for i, c in enumerate(columns))).first()
+    return tuple(c for i, c in enumerate(columns) if row[f"d{i}"] <= 0.65 * row[f"n{i}"] or row["rows"] < 1000)
+
+
+def entropies(df: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+    """The entropy of each categorical column."""
+    return entropy(frequencies(df, categorical(df, columns) or columns[:1]))
 
 
 def diversity(each: DataFrame) -> DataFrame:
@@ -120,7 +134,7 @@ _DIVERSE = " UNION ALL ".join(f"SELECT normalized FROM ({_entropy_sql(t, star.CO
 
 @query("distribution_entropy", metric_sql(f"SELECT count(*) FILTER (WHERE normalized > 0.5) AS passed, count(*) AS checked FROM ({_DIVERSE}) d", "distribution_entropy", "fidelity"))
 def distribution_entropy(spark, sf_dir):
-    each = union([entropy(frequencies(table(spark, sf_dir, t), star.COLUMNS[t])) for t in star.ASSESSED])
+    each = union([entropies(table(spark, sf_dir, t), star.COLUMNS[t]) for t in star.ASSESSED])
     return metric(diversity(each), "distribution_entropy", "fidelity")
 
 

@@ -161,17 +161,20 @@ def bias_status(share: Column, g: Column) -> Column:
     return F.when(share > 80, "attention").when((share > 60) | (g > 0.6), "review").otherwise("pass")
 
 
-_BIAS_COLUMNS = ("o_orderstatus", "o_orderpriority")
+_BIAS_COLUMNS = ("o_orderstatus", "o_orderpriority", "o_custkey")
 
 
 @query(
     "bias_status",
-    f"""SELECT "column", top_share, CASE WHEN top_share > 80 THEN 'attention' WHEN top_share > 60 THEN 'review' ELSE 'pass' END AS status FROM
- (SELECT "column", {places_sql('100::DOUBLE * max(n) / sum(n)', 2)} AS top_share FROM {frequencies_sql('orders', _BIAS_COLUMNS)} f GROUP BY 1) t""",
+    f"""SELECT "column", top_share, gini, CASE WHEN top_share > 80 THEN 'attention' WHEN top_share > 60 OR gini > 0.6 THEN 'review' ELSE 'pass' END AS status FROM
+ (SELECT "column", {places_sql('100::DOUBLE * max(n) / sum(n)', 2)} AS top_share, {places_sql('greatest(0, 2.0::DOUBLE * sum(i * n) / (count(*) * sum(n)) - (count(*) + 1)::DOUBLE / count(*))', 3)} AS gini
+ FROM (SELECT *, row_number() OVER (PARTITION BY "column" ORDER BY n, value) AS i FROM {frequencies_sql('orders', _BIAS_COLUMNS)} f) r GROUP BY 1) t""",
 )
 def bias_status_query(spark, sf_dir):
-    found = frequencies(table(spark, sf_dir, "orders"), _BIAS_COLUMNS).groupBy("column").agg(places(100 * F.max("n").cast("double") / F.sum("n"), 2).alias("top_share"))
-    return found.withColumn("status", bias_status(F.col("top_share"), F.lit(0.0)))
+    """The share of each column's most frequent value, the concentration over all of them, and what these call for."""
+    counts = frequencies(table(spark, sf_dir, "orders"), _BIAS_COLUMNS)
+    found = counts.groupBy("column").agg(places(100 * F.max("n").cast("double") / F.sum("n"), 2).alias("top_share"))
+    return found.join(gini(counts).select("column", "gini"), "column").withColumn("status", bias_status(F.col("top_share"), F.col("gini")))
 
 
 PROXY_TOKENS = {"zip": "ethnicity or income", "postal": "ethnicity or income", "nation": "ethnicity", "name": "gender or ethnicity", "segment": "income", "age": "age"}
