@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from datumloom.plans import star
-from datumloom.plans.schema import tables_of
+from datumloom.plans.schema import Column as Column_
+from datumloom.plans.schema import Table, ddl_of, order, tables_of
 from datumloom.registry import query, table
 
 
@@ -28,6 +29,7 @@ def scratch(spark: SparkSession, name: str) -> str:
 INSERT = re.compile(r'INSERT\s+INTO\s+(?:"?\w+"?\.)?"?(\w+)"?\s*(?:\(([^)]*)\))?\s*VALUES\s*', re.I)
 
 
+CREATE = re.compile(r"CREATE\s+TABLE", re.I)
 #: Space and comments before a statement.
 BEFORE = re.compile(r"(?:\s+|--[^\n]*|/\*.*?\*/)*", re.S)
 #: Statements that hold no rows, besides CREATE and INSERT.
@@ -42,34 +44,46 @@ def left_open(part: str) -> bool:
     return any("" in (m["e"], m["q"], m["c"]) for m in SPANS.finditer(part))
 
 
+#: The pieces of a value list: text outside of quotes, a quoted text, and one with escapes.
+PLAIN = re.compile(r"[^'(),]+")
+QUOTED = re.compile(r"'([^']*(?:''[^']*)*)'")
+ESCAPED = re.compile(r"'([^'\\]*(?:(?:''|\\.)[^'\\]*)*)'", re.S)
+ESCAPE = re.compile(r"''|\\(.)", re.S)
+SPACE = re.compile(r"\s+")
+
+
+def _unescaped(m: re.Match) -> str:
+    return "'" if m[1] is None else {"n": "\n", "r": "\r"}.get(m[1], m[1])
+
+
 def tuples(values: str) -> Iterator[list[str | None]]:
     """The value tuples after VALUES: quotes doubled inside quotes, NULL without quotes is null, all else text.
 
-    In E'...' a backslash escapes the next character; n and r are line ends.
+    In E'...' a backslash escapes the next character; n and r are line ends. Read a piece
+    at a time. A text that is left open ends the list.
     """
     row: list[str | None] = []
-    text, quoted, inside, depth, i = "", False, False, 0, 0
-    escapes = False
-    while i < len(values):
-        ch = values[i]
-        if inside:
-            if ch == "'" and values[i + 1 : i + 2] == "'":
-                text += "'"
-                i += 1
-            elif ch == "'":
-                inside = False
-            elif ch == "\\" and escapes:
-                i += 1
-                text += {"n": "\n", "r": "\r"}.get(values[i], values[i])
-            else:
-                text += ch
-        elif ch == "'":
-            inside, quoted, text = True, True, text.strip()
-            escapes = text in ("E", "e")
-            text = "" if escapes else text
-        elif ch == "(" and depth == 0:
+    text, quoted, depth, at = "", False, 0, 0
+    while at < len(values):
+        if m := PLAIN.match(values, at):
+            at = m.end()
+            if depth:
+                text += SPACE.sub("", m[0]) if quoted else m[0]
+            continue
+        ch = values[at]
+        if ch == "'":
+            before = text.strip()
+            escapes = before in ("E", "e")
+            m = (ESCAPED if escapes else QUOTED).match(values, at)
+            if not m:
+                return
+            quoted, at = True, m.end()
+            text = ESCAPE.sub(_unescaped, m[1]) if escapes else before + m[1].replace("''", "'")
+            continue
+        at += 1
+        if ch == "(" and depth == 0:
             depth, row, text, quoted = 1, [], "", False
-        elif depth and ch in ",)" and depth == 1:
+        elif depth == 1 and ch in ",)":
             plain = text if quoted else text.strip()
             row.append(None if not quoted and plain.upper() == "NULL" else plain)
             text, quoted = "", False
@@ -77,12 +91,8 @@ def tuples(values: str) -> Iterator[list[str | None]]:
                 depth = 0
                 yield row
         elif depth:
-            if quoted and ch.isspace():
-                pass
-            else:
-                depth += (ch == "(") - (ch == ")")
-                text += ch
-        i += 1
+            depth += (ch == "(") - (ch == ")")
+            text += ch
 
 
 def statements(spark: SparkSession, path: str) -> DataFrame:
@@ -151,34 +161,48 @@ def statements(spark: SparkSession, path: str) -> DataFrame:
 def read_dump(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     """Each table of a dump with the types of its CREATE TABLE; names like _x_meta are skipped.
 
-    Only the CREATE statements come to the driver. Inserted rows are parsed on the
-    executors. Values that don't fit a column's type are null. A statement that may
-    hold rows and can't be read is an error.
+    The dump is cut into statements once; these are kept in the shared folder, those of
+    each table apart, so that reading a table parses its own rows alone. Only the CREATE
+    statements come to the driver. Values that don't fit a column's type are null. A
+    statement that may hold rows and can't be read is an error.
     """
-    found = statements(spark, path)
-    ddl = [r[0] for r in found.where(F.col("value").rlike(r"(?i)^CREATE\s+TABLE")).collect()]
 
-    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names, rows = [], []
+            names, kept = [], []
             for statement in batch.column(0).to_pylist():
                 if m := INSERT.match(statement):
-                    listed = [c.strip(' "') for c in m[2].split(",")] if m[2] else None
-                    for values in tuples(statement[m.end() :]):
-                        names.append(m[1])
-                        rows.append(list(zip(listed or map(str, range(len(values))), values)))
+                    names.append(m[1])
+                    kept.append(statement)
+                elif CREATE.match(statement):
+                    names.append("")
+                    kept.append(statement)
                 elif not ROWLESS.match(statement):
                     raise ValueError(f"not a statement of a dump that can be read: {statement[:200]!r}")
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(rows, pa.map_(pa.string(), pa.string()))], names=["table", "row"])
+            yield pa.RecordBatch.from_arrays([pa.array([f"t{n}" for n in names], pa.string()), pa.array(kept, pa.string())], names=["of", "value"])
+
+    kept = scratch(spark, "statements")
+    statements(spark, path).mapInArrow(named, "of string, value string").write.partitionBy("of").parquet(kept)
+    found = spark.read.schema("value string, of string").parquet(kept)
+    ddl = [r.value for r in found.where("of = 't'").select("value").collect()]
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for statement in batch.column(0).to_pylist():
+                m = INSERT.match(statement)
+                listed = [c.strip(' "') for c in m[2].split(",")] if m[2] else None
+                rows += [list(zip(listed or map(str, range(len(values))), values)) for values in tuples(statement[m.end() :])]
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.map_(pa.string(), pa.string()))], names=["row"])
 
-    rows = found.mapInArrow(parse, "table string, row map<string,string>")
     out = {}
     for t in tables_of(";\n".join(ddl) + ";"):
         if re.fullmatch(r"_.*_meta", t.name):
             continue
+        rows = found.where(F.col("of") == f"t{t.name}").select("value").mapInArrow(parse, "row map<string,string>")
         # A statement without a column list numbers its values.
         cells = [F.coalesce(F.col("row")[c.name], F.col("row")[str(i)]) for i, c in enumerate(t.columns)]
-        out[t.name] = rows.where(F.col("table") == t.name).select(*(v.try_cast(c.type).alias(c.name) for v, c in zip(cells, t.columns)))
+        out[t.name] = rows.select(*(v.try_cast(c.type).alias(c.name) for v, c in zip(cells, t.columns)))
     return out
 
 
@@ -199,10 +223,36 @@ def literal(name: str, kind: str) -> Column:
     return F.when(c.isNull(), "NULL").otherwise(text)
 
 
-def write_dump(df: DataFrame, name: str, path: str) -> None:
-    """INSERT statements, one a row, ended by a semicolon and a line end; a folder of part files."""
-    row = F.concat(F.lit(f"INSERT INTO {name} ({', '.join(df.columns)}) VALUES ("), F.concat_ws(", ", *(literal(c, k) for c, k in df.dtypes)), F.lit(")"))
-    df.select(row.alias("value")).write.option("lineSep", ";\n").text(path)
+#: Rows of one INSERT statement, at most.
+INSERT_ROWS = 100
+
+
+def write_dump(df: DataFrame, name: str, path: str, rows: int = INSERT_ROWS) -> None:
+    """INSERT statements of up to ``rows`` rows each, ended by a semicolon and a line end; a folder of part files."""
+    row = F.concat(F.lit("("), F.concat_ws(", ", *(literal(c, k) for c, k in df.dtypes)), F.lit(")"))
+    head = f"INSERT INTO {name} ({', '.join(df.columns)}) VALUES "
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values = batch.column(0).to_pylist()
+            out = [head + ",\n".join(values[i : i + rows]) for i in range(0, len(values), rows)]
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["value"])
+
+    df.select(row.alias("value")).mapInArrow(joined, "value string").write.option("lineSep", ";\n").text(path)
+
+
+def write_dumps(tables: dict[str, DataFrame], schemas: list[Table], path: str) -> list[str]:
+    """A dump of several tables: their CREATE TABLE statements, and a folder of INSERT statements for each, parents first by name.
+
+    Returns the folders in the order in which a database should read them.
+    """
+    spark = next(iter(tables.values())).sparkSession
+    spark.createDataFrame([(ddl_of(schemas),)], "value string").coalesce(1).write.text(f"{path}/000_schema")
+    names = [n for n in order(schemas)[0] if n in tables]
+    out = [f"{path}/{i:03d}_{n}" for i, n in enumerate(names, 1)]
+    for n, folder in zip(names, out):
+        write_dump(tables[n], n, folder)
+    return [f"{path}/000_schema", *out]
 
 
 def save_pack(tables: dict[str, DataFrame], path: str, **about) -> None:
@@ -278,3 +328,20 @@ def catalog_scan(spark, sf_dir):
 @query("row_counts", "SELECT 'customer' AS \"table\", count(*) AS n FROM customer UNION ALL SELECT 'orders', count(*) FROM orders")
 def row_counts(spark, sf_dir):
     return table(spark, sf_dir, "customer").agg(F.lit("customer").alias("table"), F.count("*").alias("n")).unionByName(table(spark, sf_dir, "orders").agg(F.lit("orders").alias("table"), F.count("*").alias("n")))
+
+
+@query(
+    "linked_dump_round_trip",
+    """SELECT o_orderkey, c_name, n_name, o_orderpriority FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey""",
+)
+def linked_dump_round_trip(spark, sf_dir):
+    """Three tables written as one dump with their schema, read again and joined."""
+    names = ("nation", "customer", "orders")
+    tables = {t: table(spark, sf_dir, t) for t in names}
+    parents = {(t, c): (p, k) for t, c, p, k in star.FOREIGN_KEYS if t in names and p in names}
+    schemas = [Table(t, [Column_(f.name, f.dataType, f.nullable, star.PRIMARY_KEYS[t] == f.name, parents.get((t, f.name))) for f in df.schema]) for t, df in tables.items()]
+    path = scratch(spark, "dumps")
+    write_dumps(tables, schemas, path)
+    read = read_dump(spark, f"{path}/*")
+    rows = read["orders"].join(read["customer"], F.col("o_custkey") == F.col("c_custkey")).join(read["nation"], F.col("c_nationkey") == F.col("n_nationkey"))
+    return rows.select("o_orderkey", "c_name", "n_name", "o_orderpriority")

@@ -1,4 +1,6 @@
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from datumloom.sources import dumps
 
@@ -42,3 +44,53 @@ def test_line_ends_are_written_and_read_again(spark, tmp_path):
 def test_what_cannot_be_read_is_an_error(spark, tmp_path, bad):
     with pytest.raises(Exception, match="can be read|ends inside"):
         rows(spark, tmp_path / "d", CREATE + bad + ";\n")
+
+
+def by_characters(values):
+    """The same list read a character at a time."""
+    row, text, quoted, inside, escapes, depth, i = [], "", False, False, False, 0, 0
+    while i < len(values):
+        ch = values[i]
+        if inside:
+            if ch == "'" and values[i + 1 : i + 2] == "'":
+                text, i = text + "'", i + 1
+            elif ch == "'":
+                inside = False
+            elif ch == "\\" and escapes:
+                i += 1
+                text += {"n": "\n", "r": "\r"}.get(values[i : i + 1], values[i : i + 1])
+            else:
+                text += ch
+        elif ch == "'":
+            inside, quoted, text = True, True, text.strip()
+            escapes = text in ("E", "e")
+            text = "" if escapes else text
+        elif ch == "(" and depth == 0:
+            depth, row, text, quoted = 1, [], "", False
+        elif depth == 1 and ch in ",)":
+            plain = text if quoted else text.strip()
+            row.append(None if not quoted and plain.upper() == "NULL" else plain)
+            text, quoted = "", False
+            if ch == ")":
+                depth = 0
+                yield row
+        elif depth and not (quoted and ch.isspace()):
+            depth += (ch == "(") - (ch == ")")
+            text += ch
+        i += 1
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.sampled_from(["(", ")", ",", "'", "''", "E'", "\\", "\\n", " ", "\n", "NULL", "1", "x", "é", "f(", "::int", ";"]), max_size=25).map("".join))
+def test_pieces_are_read_like_characters(values):
+    assert list(dumps.tuples(values)) == list(by_characters(values))
+
+
+def test_many_rows_in_one_statement(spark, tmp_path):
+    want = [(i, None if i % 5 == 0 else f"it's {i},\n(x)") for i in range(457)]
+    dumps.write_dump(spark.createDataFrame(want, "id int, note string").repartition(3), "orders", f"{tmp_path}/d/rows", rows=50)
+    text = "".join(p.read_text() for p in (tmp_path / "d" / "rows").glob("*.txt"))
+    assert 10 <= text.count("INSERT INTO") <= 12
+    (tmp_path / "d" / "ddl").mkdir()
+    (tmp_path / "d" / "ddl" / "a.sql").write_text(CREATE)
+    assert sorted((r.id, r.note) for r in dumps.read_dump(spark, f"{tmp_path}/d/*")["orders"].collect()) == want
