@@ -7,7 +7,7 @@ looked up, and hits near one another and near one diagonal make a candidate regi
 There, a banded alignment of the template with the document's words, with matches
 gaining and gaps and substitutions costing, gives the matched words and the span.
 
-The index holds the templates only, a few hundred entries, and goes to all tasks.
+The index holds the templates only, some ten thousand entries, and goes to all tasks.
 """
 
 from __future__ import annotations
@@ -16,6 +16,8 @@ import re
 from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import cache
+from pathlib import Path
 from typing import NamedTuple
 
 import numpy as np
@@ -101,13 +103,25 @@ for _id in ("BSD", "ISC"):
 
 WORD = re.compile(r"[a-z0-9]+")
 GRAM, WINDOW, BAND = 3, 3, 12
-#: Diagonals that the anchors of one region span at most.
-SPAN = 4 * BAND
+#: Diagonals that the anchors of one region span at most: so many, or a part of a long template, through which more words may be put in or left out.
+SPAN, SPAN_SHARE = 4 * BAND, 12
+#: Templates of so many words are thinned more.
+LONG, LONG_WINDOW = 500, 8
+#: A region of a long template holds at least this share of its fingerprints; a few that any two legal texts share don't call for an alignment.
+LEAST_ANCHORS = 0.1
+#: Whole licence texts as published, one a file, named by their identifiers.
+LICENCES = Path(__file__).parent / "licences"
 #: Templates of fewer words keep all their trigrams.
 SHORT = 20
 MATCH, MISMATCH, GAP = 2, -1, -1
 
 
+@cache
+def every_template() -> dict[str, str]:
+    """Notices, statements and whole licence texts."""
+    return TEMPLATES | {f"{p.stem}-text": p.read_text() for p in sorted(LICENCES.glob("*.txt"))}
+
+
 def words_of(text: str) -> list[str]:
     return WORD.findall(text.lower())
 
@@ -131,20 +145,24 @@ class Index(NamedTuple):
     vocabulary: dict[str, int]
     codes: np.ndarray
     places: list[list[tuple[int, int]]]
+    #: How many anchors a region needs, for each template.
+    needed: list[int]
 
 
 def index_of(templates: dict[str, str]) -> Index:
     split = {name: words_of(text) for name, text in templates.items()}
     vocabulary = {w: i for i, w in enumerate(sorted({w for words in split.values() for w in words}), 1)}
-    size, inverted = len(vocabulary) + 1, defaultdict(list)
+    size, inverted, needed = len(vocabulary) + 1, defaultdict(list), []
     for t, words in enumerate(split.values()):
-        for gram, at in fingerprints(words, window=1 if len(words) < SHORT else WINDOW):
+        chosen = fingerprints(words, window=1 if len(words) < SHORT else WINDOW if len(words) < LONG else LONG_WINDOW)
+        needed.append(1 if len(words) < LONG else int(LEAST_ANCHORS * len(chosen)))
+        for gram, at in chosen:
             code = 0
             for w in gram:
                 code = code * size + vocabulary[w]
             inverted[code].append((t, at))
     codes = sorted(inverted)
-    return Index(list(split), [np.array([vocabulary[w] for w in words], dtype=np.int64) for words in split.values()], vocabulary, np.array(codes, dtype=np.int64), [inverted[c] for c in codes])
+    return Index(list(split), [np.array([vocabulary[w] for w in words], dtype=np.int64) for words in split.values()], vocabulary, np.array(codes, dtype=np.int64), [inverted[c] for c in codes], needed)
 
 
 class Match(NamedTuple):
@@ -229,10 +247,11 @@ def scan(ids: np.ndarray, index: Index, least_coverage: float, band: int = BAND)
             continue
         counts = np.bincount(sequence, minlength=size)
         anchors.sort()
+        spread = max(SPAN, len(sequence) // SPAN_SHARE)
         groups: list[list[tuple[int, int]]] = []
         # Neighbours by diagonal, up to a span, so that a licence repeated any number of times makes many small regions.
         for anchor in anchors:
-            if groups and anchor[0] - groups[-1][-1][0] <= band and anchor[0] - groups[-1][0][0] <= SPAN:
+            if groups and anchor[0] - groups[-1][-1][0] <= band and anchor[0] - groups[-1][0][0] <= spread:
                 groups[-1].append(anchor)
             else:
                 groups.append([anchor])
@@ -240,6 +259,8 @@ def scan(ids: np.ndarray, index: Index, least_coverage: float, band: int = BAND)
         regions = [(group, 0, len(ids)) for group in groups]
         while regions:
             group, least, most = regions.pop()
+            if len(group) < index.needed[template]:
+                continue
             low, high = group[0][0], group[-1][0]
             wide = band + (high - low + 1) // 2
             start, end = max(least, low - wide), min(most, high + len(sequence) + wide)
@@ -266,12 +287,12 @@ def scan(ids: np.ndarray, index: Index, least_coverage: float, band: int = BAND)
 
 def license_matches(
     docs: DataFrame,
-    templates: dict[str, str] = TEMPLATES,
+    templates: dict[str, str] | None = None,
     least_coverage: float = 0.75,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
-    """One row for each match: id, license, coverage, matched_words, first_word, last_word, char_start, char_end.
+    """One row for each match of ``templates`` (all that there are, if none are given): id, license, coverage, matched_words, first_word, last_word, char_start, char_end.
 
     Coverage is the share of the template's words that are matched in order. The span
     is given in words (from 0, of ``[a-z0-9]+`` in the lower-cased text) and in
@@ -282,7 +303,7 @@ def license_matches(
     - Repeated rows each give their matches. A whole text is scanned, however long.
     - Extra columns are ignored; an empty table gives an empty result.
     """
-    index = index_of(templates)
+    index = index_of(every_template() if templates is None else templates)
     rows = pick(docs, id_col, text_col)
     names = (id_col, "license", "coverage", "matched_words", "first_word", "last_word", "char_start", "char_end")
     schema = f"`{id_col}` {rows.schema[id_col].dataType.simpleString()}, license string, coverage double, matched_words int, first_word int, last_word int, char_start int, char_end int"

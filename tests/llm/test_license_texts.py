@@ -90,3 +90,42 @@ def test_repeated_statements_take_linear_time_and_are_all_found():
         assert len(scan.scan(ids, index, 0.75)) == n
         took.append(time.process_time() - began)
     assert took[1] < 40 * took[0]
+
+
+@pytest.fixture(scope="module")
+def everything():
+    return scan.index_of(scan.every_template())
+
+
+def found_in(index, text):
+    ids = np.array([index.vocabulary.get(w, 0) for w in scan.words_of(text)], dtype=np.int64)
+    return [(index.names[m.template], m.coverage, m.first_word, m.last_word) for m in scan.scan(ids, index, 0.75)]
+
+
+FULL = sorted(n for n in scan.every_template() if n not in scan.TEMPLATES)
+
+
+@pytest.mark.parametrize("name", FULL)
+def test_whole_texts_are_found_as_they_are_and_edited(everything, name):
+    text = scan.every_template()[name]
+    n = len(scan.words_of(text))
+    assert found_in(everything, f"some words before {text} and others behind")[0] == (name, 1.0, 3, n + 2)
+    rng = np.random.default_rng(len(name))
+    edited = []
+    for i, paragraph in enumerate(text.split("\n\n")):
+        words = paragraph.split()
+        if words:
+            at = int(rng.integers(len(words)))
+            words[at : at + 1] = [["replaced"], [], [words[at], "inserted"]][i % 3]
+        edited.append(" ".join(words))
+    found = found_in(everything, "\n\n".join(edited))
+    assert found[0][0] == name and found[0][1] > 0.9
+
+
+def test_text_without_licences_is_left_alone(everything):
+    words = scan.words_of(" ".join(scan.every_template()[n] for n in FULL))
+    mixed = np.random.default_rng(4).permutation(words)
+    assert [f for f in found_in(everything, " ".join(mixed)) if f[0] in FULL] == []
+    began = time.process_time()
+    assert found_in(everything, "the people of the country in the name of the law and any of the other rights of this kind " * 500) == []
+    assert time.process_time() - began < 20
