@@ -6,8 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from datumloom.functions.numbers import half_up
-from datumloom.operators.assess import _METRICS, _RATIOS, all_metrics, cardinality_ratio
-from datumloom.registry import query
+from datumloom.operators import assess
+from datumloom.operators.assess import _METRICS, _RATIOS, all_metrics, cardinality_ratio, metric_sql
+from datumloom.registry import query, table
+from datumloom.sources import dumps
 
 # Families of personal columns, the identifier each stands for ("" for none), and patterns of lower-case names.
 FAMILIES = (
@@ -96,3 +98,40 @@ def compliance_metrics(spark, sf_dir):
     repeated = F.greatest(F.lit(0.0), 100 - 20 * (100.0 * (F.col("checked") - F.col("passed")) / F.col("checked")))
     value = F.when(F.col("metric") == "exact_match_rate", repeated).when(F.col("metric") == "cardinality_ratio", F.col("healthy")).otherwise(F.col("score").cast("double"))
     return rows.withColumn("value", value).select("metric", "value", F.when(F.col("value") >= F.col("least_score"), "pass").otherwise("warn").alias("status"))
+
+
+#: Statuses of an article, best first.
+STATUSES = ("pass", "partial", "fail")
+
+
+def dora_articles(fk: float, temporal: float, about: dict | None) -> dict[str, str]:
+    """The six articles of digital operational resilience from two scores and what a dataset says of its making (version, seed), and the worst of them."""
+    version, seed = bool(about and about.get("version")), bool(about and about.get("seed") not in (None, "", "N/A"))
+    out = {
+        "article_6": "pass" if version else "partial" if about else "fail",
+        "article_9": "pass" if about else "partial",
+        "article_10": "pass" if fk >= 100 and temporal >= 95 else "partial" if fk >= 90 or temporal >= 90 else "fail",
+        "article_11": "pass" if seed else "fail",
+        "article_12": "pass",
+        "article_16": "pass" if version else "partial",
+    }
+    return out | {"overall": max(out.values(), key=STATUSES.index)}
+
+
+_DORA_TEN = "CASE WHEN fk >= 100 AND tl >= 95 THEN 'pass' WHEN fk >= 90 OR tl >= 90 THEN 'partial' ELSE 'fail' END"
+_DORA = f"""WITH s AS (SELECT max(score) FILTER (WHERE metric = 'fk_integrity') AS fk, max(score) FILTER (WHERE metric = 'temporal_logic') AS tl FROM ({metric_sql(assess._FK, 'fk_integrity', 'structure')} UNION ALL {metric_sql(assess._TEMPORAL, 'temporal_logic', 'structure')}) m),
+a AS (SELECT * FROM (VALUES ('none', 'article_6', 'fail'), ('none', 'article_9', 'partial'), ('none', 'article_11', 'fail'), ('none', 'article_12', 'pass'), ('none', 'article_16', 'partial'),
+ ('pack', 'article_6', 'pass'), ('pack', 'article_9', 'pass'), ('pack', 'article_11', 'pass'), ('pack', 'article_12', 'pass'), ('pack', 'article_16', 'pass'), ('seed', 'article_6', 'partial'), ('seed', 'article_9', 'pass'), ('seed', 'article_11', 'pass'), ('seed', 'article_12', 'pass'), ('seed', 'article_16', 'partial')) v(provenance, article, status)
+ UNION ALL SELECT p, 'article_10', {_DORA_TEN} FROM s, (VALUES ('none'), ('pack'), ('seed')) v(p))
+SELECT * FROM a UNION ALL SELECT provenance, 'overall', CASE WHEN bool_or(status = 'fail') THEN 'fail' WHEN bool_or(status = 'partial') THEN 'partial' ELSE 'pass' END FROM a GROUP BY provenance"""
+
+
+@query("dora_articles", _DORA)
+def dora_articles_query(spark, sf_dir):
+    """All six articles for the given tables, without word of how they were made, as a saved pack with version and seed, and with a seed alone."""
+    fk = assess.reference_rows(spark, sf_dir).agg(F.sum("valid_refs").alias("passed"), F.sum("total_refs").alias("checked"))
+    scores = [assess.metric(fk, "fk_integrity", "structure").first()["score"], assess.temporal_logic(spark, sf_dir).first()["score"]]
+    path = dumps.scratch(spark, "pack")
+    dumps.save_pack({"region": table(spark, sf_dir, "region")}, path, version="1", seed=42)
+    known = {"none": None, "pack": dumps.load_pack(spark, path)[1], "seed": {"seed": 7}}
+    return spark.createDataFrame([(p, a, s) for p, about in known.items() for a, s in dora_articles(*scores, about).items()], "provenance string, article string, status string")

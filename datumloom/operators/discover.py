@@ -112,8 +112,20 @@ def chart_kind(types: list[tuple[str, str]], n_rows: int) -> str:
     return "scatter" if len(numbers) == len(types) >= 2 else "table"
 
 
-@query("chart_inference", "SELECT * FROM (VALUES ('status counts', 'pie'), ('daily orders', 'line'), ('total', 'kpi')) v(result, chart)")
+_PLOTTED = {"status counts": ("SELECT o_orderstatus AS a, count(*) AS b FROM orders GROUP BY 1", 2), "daily orders": ("SELECT o_orderdate::DATE AS a, count(*) AS b FROM orders GROUP BY 1", 2), "customers' orders": ("SELECT o_custkey::VARCHAR AS a, count(*) AS b FROM orders GROUP BY 1", 2), "total": ("SELECT count(*) AS a FROM orders", 1)}
+
+
+def _chart_sql(name: str, result: str, n_columns: int) -> str:
+    """The chart from what the database says of the result's types and rows."""
+    kinds = ", ".join(f"any_value(typeof({c})) AS t{c}" for c in "ab"[:n_columns])
+    times = " OR ".join(f"t{c} IN ('DATE', 'TIMESTAMP')" for c in "ab"[:n_columns])
+    numbers = " + ".join(f"(t{c} IN ('BIGINT', 'INTEGER', 'DOUBLE'))::INT" for c in "ab"[:n_columns])
+    cases = f"WHEN n = 1 AND {n_columns} = 1 AND {numbers} = 1 THEN 'kpi' WHEN ({times}) AND {numbers} > 0 THEN 'line' WHEN {n_columns} = 2 AND {numbers} = 1 THEN CASE WHEN n <= 6 THEN 'pie' ELSE 'bar' END WHEN {n_columns} >= 2 AND {numbers} = {n_columns} THEN 'scatter' ELSE 'table' END"
+    return "SELECT '" + name.replace("'", "''") + f"' AS result, CASE {cases} AS chart FROM (SELECT count(*) AS n, {kinds} FROM ({result}) r) k"
+
+
+@query("chart_inference", " UNION ALL ".join(_chart_sql(n, r, k) for n, (r, k) in _PLOTTED.items()))
 def chart_inference(spark, sf_dir):
     orders = table(spark, sf_dir, "orders")
-    results = {"status counts": orders.groupBy("o_orderstatus").count(), "daily orders": orders.groupBy(F.to_date("o_orderdate").alias("d")).count(), "total": orders.agg(F.count("*").alias("n"))}
+    results = {"status counts": orders.groupBy("o_orderstatus").count(), "daily orders": orders.groupBy(F.to_date("o_orderdate").alias("d")).count(), "customers' orders": orders.groupBy(F.col("o_custkey").cast("string").alias("c")).count(), "total": orders.agg(F.count("*").alias("n"))}
     return spark.createDataFrame([(name, chart_kind(df.dtypes, df.limit(7).count())) for name, df in results.items()], "result string, chart string")

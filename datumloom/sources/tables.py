@@ -6,10 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from datumloom.operators.profile import UUID
+from datumloom.plans import star
 from datumloom.registry import query, table
 from datumloom.sources.dumps import scratch
 
 
+#: What a column's values have to look like, the first that all of them do decides.
+SNIFFED = {"UUID": UUID, "INTEGER": "^-?[0-9]+$", "NUMERIC": "^-?[0-9]+([.][0-9]+)?([eE]-?[0-9]+)?$", "BOOLEAN": "^(?i:true|false)$", "TIMESTAMP": "^[0-9]{4}-[0-9]{2}-[0-9]{2}([ T][0-9:.]+Z?)?$"}
+
+
 def read_jdbc(spark: SparkSession, url: str, name: str, columns: list[str] | None = None, limit: int | None = None, key: str | None = None, parts: int = 16, **options) -> DataFrame:
     """A database's table; columns and limits are pushed to it. With a numeric key it is read in parts by ranges of the key."""
     reader = spark.read.format("jdbc").options(url=url, dbtable=name, **options)
@@ -29,10 +34,9 @@ def write_jdbc(df: DataFrame, url: str, name: str, replace: bool = False, batch:
 
 def sniffed(df: DataFrame) -> dict[str, str]:
     """The type that all non-empty values of each text column have: UUID, INTEGER, NUMERIC, BOOLEAN, TIMESTAMP, else TEXT."""
-    tests = {"UUID": UUID, "INTEGER": "^-?[0-9]+$", "NUMERIC": "^-?[0-9]+([.][0-9]+)?([eE]-?[0-9]+)?$", "BOOLEAN": "^(?i)(true|false)$", "TIMESTAMP": "^[0-9]{4}-[0-9]{2}-[0-9]{2}([ T][0-9:.]+Z?)?$"}
-    checks = [F.coalesce(F.min(F.when(F.col(c).isNotNull() & (F.col(c) != ""), F.col(c).rlike(p))), F.lit(False)).alias(f"{c}|{kind}") for c in df.columns for kind, p in tests.items()]
+    checks = [F.coalesce(F.min(F.when(F.col(c).isNotNull() & (F.col(c) != ""), F.col(c).rlike(p))), F.lit(False)).alias(f"{c}|{kind}") for c in df.columns for kind, p in SNIFFED.items()]
     row = df.agg(*checks).first()
-    return {c: next((kind for kind in tests if row[f"{c}|{kind}"]), "TEXT") for c in df.columns}
+    return {c: next((kind for kind in SNIFFED if row[f"{c}|{kind}"]), "TEXT") for c in df.columns}
 
 
 def read_log(spark: SparkSession, path: str, since: str | None = None, command: str | None = None, last: int | None = None) -> DataFrame:
@@ -43,7 +47,15 @@ def read_log(spark: SparkSession, path: str, since: str | None = None, command:
     return df.orderBy(F.col("at").desc()).limit(last) if last else df
 
 
-@query("csv_types", "SELECT * FROM (VALUES ('o_custkey', 'INTEGER'), ('o_orderdate', 'TIMESTAMP'), ('o_orderkey', 'INTEGER'), ('o_orderpriority', 'TEXT'), ('o_orderstatus', 'TEXT'), ('o_totalprice', 'NUMERIC')) v(\"column\", type)")
+_SNIFFED = " ".join(f"WHEN bool_and(regexp_matches(v, '{p}')) THEN '{k}'" for k, p in SNIFFED.items())
+
+
+def _csv_sql() -> str:
+    as_text = {"o_orderdate": "strftime(o_orderdate, '%Y-%m-%d %H:%M:%S')"}
+    return " UNION ALL ".join(f"SELECT '{c}' AS \"column\", CASE {_SNIFFED} ELSE 'TEXT' END AS type FROM (SELECT {as_text.get(c, f'{c}::VARCHAR')} AS v FROM orders) t WHERE v <> ''" for c in star.COLUMNS["orders"])
+
+
+@query("csv_types", _csv_sql())
 def csv_types(spark, sf_dir):
     """Types of a CSV file's columns, from all of its values."""
     path = scratch(spark, "csv")
