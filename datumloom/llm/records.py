@@ -36,13 +36,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
 from datumloom.llm.common import pick, slices
-from datumloom.llm.tokens import ENCODE_ROWS, WordEncoder, tokenizer_path
+from datumloom.llm.tokens import WordEncoder, tokenizer_path
 
 MASK = 0xA282EAD8
 POLYNOMIAL = 0x82F63B78  # CRC-32C, reflected
 BLOCK = 64
 INDEX = np.dtype([("known", "u1"), ("doc_id", "<i8"), ("offset", "<u8"), ("start", "<u8")])
 HEAD = 9  # bytes of a payload before the token ids
+#: Texts that a writer encodes together; more share more words.
+WRITE_ROWS = 2000
 READ_BYTES = 8 << 20
 #: No document comes near this; a larger length is damage.
 MAX_PAYLOAD = 1 << 31
@@ -210,7 +212,7 @@ class TokenRecordWriter(DataSourceArrowWriter):
         system, root = filesystem(self.path)
         system.create_dir(root, recursive=True)
         with system.open_output_stream(f"{root}/{done.name}.rec") as data, system.open_output_stream(f"{root}/{done.name}.idx") as index:
-            for batch in slices(iterator, ENCODE_ROWS):
+            for batch in slices(iterator, WRITE_ROWS):
                 doc_ids = batch.column("doc_id").to_pylist()
                 ids, bounds = encoder.encode_batch([t or "" for t in batch.column("text").to_pylist()], self.end_id)
                 if self.width == 2 and len(ids) and ids.max() > 0xFFFF:
@@ -229,7 +231,7 @@ class TokenRecordWriter(DataSourceArrowWriter):
                 done.n_records += len(framed)
                 done.n_ids += int(counts.sum())
                 done.n_bytes += int(sizes.sum())
-        encoder.forget()
+        # Words stay remembered for the worker's next file, unlike in packing, which shares its workers with other stages.
         if not done.n_records:
             for kind in ("rec", "idx"):
                 system.delete_file(f"{root}/{done.name}.{kind}")
