@@ -116,7 +116,7 @@ def categorical(df: DataFrame, columns: tuple[str, ...]) -> tuple[str, ...]:
 
     The others, such as keys and texts, need not be counted by value.
     """
-    row = df.agg(F.count("*").alias("rows"), *(F.approx_count_distinct(c, 0.02).alias(f"d{i}") for i, c in enumerate(columns)), *(F.count(c).alias(f"n{i}") for i, c in enumerate(columns))).first()
+    row = df.agg(F.count("*").alias("rows"), *(F.approx_count_distinct(c).alias(f"d{i}") for i, c in enumerate(columns)), *(F.count(c).alias(f"n{i}") for i, c in enumerate(columns))).first()
     return tuple(c for i, c in enumerate(columns) if row[f"d{i}"] <= 0.65 * row[f"n{i}"] or row["rows"] < 1000)
 
 
