@@ -1,5 +1,7 @@
+import duckdb
 import pytest
 
+from datumloom import catalog
 from datumloom.operators import privacy
 
 # By hand, from the reference's scanners: a text for each pattern, its category, action and threshold.
@@ -55,3 +57,11 @@ def test_long_texts_without_marks(spark):
     words = "word " * 50_000
     df = spark.createDataFrame([(0, f"7 {words}"), (1, f"7 {words}hwy")], "i int, text string")
     assert [r.found for r in df.orderBy("i").select(privacy.has(df.text, privacy.VALUES["address"][0]).alias("found")).collect()] == [False, True]
+
+
+def test_seventeen_capitals_without_a_digit(spark, tmp_path):
+    text = "car WDBUFGHJKLMNPRSTV is sold"
+    spark.createDataFrame([(1, text), (2, "car is sold"), (3, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    sql = catalog.ORACLES["contains_pii"].replace("FROM documents", f"FROM '{tmp_path}/documents.parquet/*.parquet'")
+    got = {tuple(r) for r in catalog.QUERIES["contains_pii"](spark, str(tmp_path)).collect()}
+    assert got == set(duckdb.sql(sql).fetchall()) == {(1, "vin,"), (2, ""), (3, "")}
