@@ -65,3 +65,9 @@ def test_seventeen_capitals_without_a_digit(spark, tmp_path):
     sql = catalog.ORACLES["contains_pii"].replace("FROM documents", f"FROM '{tmp_path}/documents.parquet/*.parquet'")
     got = {tuple(r) for r in catalog.QUERIES["contains_pii"](spark, str(tmp_path)).collect()}
     assert got == set(duckdb.sql(sql).fetchall()) == {(1, "vin,"), (2, ""), (3, "")}
+
+
+def test_a_scan_counts_values_in_texts_without_digits(spark):
+    df = spark.createDataFrame([("car WDBUFGHJKLMNPRSTV is sold",), ("car 1HGCM82633A004352 is sold",), ("no car",), (None,)], "text string")
+    got = {r.category: (r.hits, r.share, r.found) for r in privacy.scan(df, "text").collect()}
+    assert got["vin"] == (2, 0.6667, True) and all(v == (0, 0.0, False) for k, v in got.items() if k != "vin")
