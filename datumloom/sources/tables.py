@@ -39,12 +39,16 @@ def sniffed(df: DataFrame) -> dict[str, str]:
     return {c: next((kind for kind in SNIFFED if row[f"{c}|{kind}"]), "TEXT") for c in df.columns}
 
 
-def read_log(spark: SparkSession, path: str, since: str | None = None, command: str | None = None, last: int | None = None) -> DataFrame:
-    """A log of JSON lines, from a time on, of one command, the last so many entries."""
-    df = spark.read.json(path)
+def read_log(spark: SparkSession, path: str, since: str | None = None, command: str | None = None, last: int | None = None, key: str | None = None, schema: str | None = None) -> DataFrame:
+    """A log of JSON lines, from a time on, of one command, the last so many entries.
+
+    Times are texts of one form, at the log's full precision. Of entries of one time those
+    with the smallest ``key`` come first. With a ``schema`` the log is read once.
+    """
+    df = spark.read.json(path, schema=schema)
     df = df.where(F.col("at") >= since) if since else df
     df = df.where(F.col("command") == command) if command else df
-    return df.orderBy(F.col("at").desc()).limit(last) if last else df
+    return df.orderBy(F.col("at").desc(), *([F.col(key).asc_nulls_last()] if key else [])).limit(last) if last else df
 
 
 _SNIFFED = " ".join(f"WHEN bool_and(regexp_matches(v, '{p}')) THEN '{k}'" for k, p in SNIFFED.items())
@@ -67,5 +71,6 @@ def csv_types(spark, sf_dir):
 def log_scan(spark, sf_dir):
     """The last twenty errors since a day, from a log of JSON lines."""
     path = scratch(spark, "log")
-    table(spark, sf_dir, "events").select("event_id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("at"), F.col("event_type").alias("command")).write.json(path)
-    return read_log(spark, path, since="2024-01-10", command="error", last=20).select("event_id", "at", "command")
+    table(spark, sf_dir, "events").select("event_id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("at"), F.col("event_type").alias("command")).write.json(path)
+    found = read_log(spark, path, since="2024-01-10", command="error", last=20, key="event_id", schema="event_id long, at string, command string")
+    return found.select("event_id", F.substring("at", 1, 19).alias("at"), "command")
