@@ -238,10 +238,22 @@ def pk_uniqueness(spark, sf_dir):
     return metric(each.agg(F.sum("passed").alias("passed"), F.sum("checked").alias("checked")), "pk_uniqueness", "structure")
 
 
+#: Items of one partition of a join with orders, about.
+ITEMS_EACH = 500_000
+
+
+def ordered_items(spark, sf_dir) -> DataFrame:
+    """Items with their orders. Partitions follow the number of items where the session's would hold more, so a task's sort doesn't grow with the tables."""
+    items, orders = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
+    n = -(-items.count() // ITEMS_EACH)  # from the files' footers
+    if n > int(spark.conf.get("spark.sql.shuffle.partitions")):
+        items, orders = items.repartition(n, "l_orderkey"), orders.repartition(n, "o_orderkey")
+    return items.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+
+
 def shipments(spark, sf_dir) -> DataFrame:
     """Items with the order's date as created_at and the shipping date as shipped_at."""
-    items, orders = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
-    return items.join(orders, items.l_orderkey == orders.o_orderkey).select("l_orderkey", "l_linenumber", F.col("o_orderdate").alias("created_at"), F.col("l_shipdate").alias("shipped_at"))
+    return ordered_items(spark, sf_dir).select("l_orderkey", "l_linenumber", F.col("o_orderdate").alias("created_at"), F.col("l_shipdate").alias("shipped_at"))
 
 
 SHIPMENTS = "(SELECT l_orderkey, l_linenumber, o_orderdate AS created_at, l_shipdate AS shipped_at FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"

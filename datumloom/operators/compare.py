@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from datumloom.functions.numbers import half_up, places, places_sql, uniform, uniform_sql
-from datumloom.operators.assess import SHIPMENTS, shipments, union
+from datumloom.operators.assess import SHIPMENTS, ordered_items, shipments, union
 from datumloom.plans.temporal_rules import pairs_of, statuses_of
 from datumloom.registry import query, table
 from datumloom.sources.dumps import scratch
@@ -150,9 +150,10 @@ def grade_result(spark, sf_dir):
 
 
 def within_row(df: DataFrame) -> DataFrame:
-    """Rows whose later column precedes the earlier one, a row for each violated pair."""
-    found = pairs_of(df.columns)
-    return union([df.where(F.col(b) < F.col(a)).select("*", F.lit(f"{a} <= {b}").alias("rule")) for a, b in found]) if found else df.where("false").withColumn("rule", F.lit(None).cast("string"))
+    """Rows whose later column precedes the earlier one, a row for each violated pair, from one pass."""
+    parts = [F.when(F.col(b) < F.col(a), f"{a} <= {b}") for a, b in pairs_of(df.columns)]
+    broken = F.filter(F.array(*parts), lambda r: r.isNotNull()) if parts else F.array().cast("array<string>")
+    return df.select("*", F.explode(broken).alias("rule"))
 
 
 def late(df: DataFrame) -> DataFrame:
@@ -172,8 +173,7 @@ def within_row_temporal(spark, sf_dir):
 @query("cross_table_temporal", "SELECT l_orderkey, l_linenumber, l_partkey, l_shipdate, o_orderdate FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_shipdate < o_orderdate + INTERVAL 2 DAY")
 def cross_table_temporal(spark, sf_dir):
     """Items shipped less than two days after their order."""
-    items, orders = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
-    return items.join(orders, items.l_orderkey == orders.o_orderkey).where(F.col("l_shipdate") < F.col("o_orderdate") + F.expr("INTERVAL 2 DAYS")).select("l_orderkey", "l_linenumber", "l_partkey", "l_shipdate", "o_orderdate")
+    return ordered_items(spark, sf_dir).where(F.col("l_shipdate") < F.col("o_orderdate") + F.expr("INTERVAL 2 DAYS")).select("l_orderkey", "l_linenumber", "l_partkey", "l_shipdate", "o_orderdate")
 
 
 def with_closing(orders: DataFrame) -> DataFrame:
@@ -239,8 +239,7 @@ _DELIVERY = f"l_shipdate + INTERVAL 1 DAY * (floor({uniform_sql(17, 'lineitem',
 def within_row_pairs(spark, sf_dir):
     """Items shipped before their order or delivered before they were shipped: two of the 39 pairs, found by name."""
     days = (F.floor(uniform(17, "lineitem", "delivery", F.concat_ws("-", "l_orderkey", "l_linenumber")) * 12) - 2).cast("int")
-    items, orders = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
-    rows = items.join(orders, items.l_orderkey == orders.o_orderkey).select(
+    rows = ordered_items(spark, sf_dir).select(
         "l_orderkey", "l_linenumber", F.col("o_orderdate").cast("timestamp").alias("order_date"), F.col("l_shipdate").cast("timestamp").alias("ship_date"), (F.col("l_shipdate").cast("timestamp") + F.make_dt_interval(days=days)).alias("delivery_date")
     )
     return within_row(rows).select("l_orderkey", "l_linenumber", "rule")
