@@ -44,6 +44,17 @@ def left_open(part: str) -> bool:
     return any("" in (m["e"], m["q"], m["c"]) for m in SPANS.finditer(part))
 
 
+#: Statements taken from an Arrow batch at a time, and rows put into one: a batch of ten thousand statements may hold millions of rows.
+STATEMENTS, ROWS = 64, 4_096
+
+
+def slices(batches: Iterator[pa.RecordBatch], columns: int = 1) -> Iterator[list[list]]:
+    """The first columns of a few rows at a time as Python lists."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, STATEMENTS):
+            yield [c.slice(at, STATEMENTS).to_pylist() for c in batch.columns[:columns]]
+
+
 #: The pieces of a value list: text outside of quotes, a quoted text, and one with escapes.
 PLAIN = re.compile(r"[^'(),]+")
 QUOTED = re.compile(r"'([^']*(?:''[^']*)*)'")
@@ -116,23 +127,23 @@ def statements(spark: SparkSession, path: str) -> DataFrame:
     found = found.unionByName(parts(";\r\n", known)) if crlf else found
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for (values,) in slices(batches):
             out = []
-            for row in batch.column(0).to_pylist():
+            for row in values:
                 out.extend(CUT.split(row)[:-1:2])
             yield pa.RecordBatch.from_arrays([pa.array([clean(s) for s in out], pa.string())], names=["value"])
 
     def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
-            files = {f for row, f in rows if any(map(left_open, CUT.split(row)[:-1:2]))}
-            yield pa.RecordBatch.from_arrays([pa.array(sorted(files), pa.string())], names=["file"])
+        files: set[str] = set()
+        for values, of in slices(batches, 2):
+            files |= {f for row, f in zip(values, of) if f not in files and any(map(left_open, CUT.split(row)[:-1:2]))}
+        yield pa.RecordBatch.from_arrays([pa.array(sorted(files), pa.string())], names=["file"])
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, last = "", None
-        for batch in batches:
+        for values, of in slices(batches, 2):
             out = []
-            for row, file in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for row, file in zip(values, of):
                 if held and file != last:
                     raise ValueError(f"{last} ends inside a text or comment: {held[:200]!r}")
                 last = file
@@ -158,6 +169,26 @@ def statements(spark: SparkSession, path: str) -> DataFrame:
     return found.where(~F.col("file").isin(torn)).select("value").mapInArrow(whole, "value string").unionByName(alone.mapInArrow(joined, "value string"))
 
 
+def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of INSERT statements as maps of cells by column, or by place where a statement lists none; a bounded number in each batch."""
+    rows: list[list[tuple[str, str | None]]] = []
+
+    def filled() -> pa.RecordBatch:
+        out = pa.RecordBatch.from_arrays([pa.array(rows, pa.map_(pa.string(), pa.string()))], names=["row"])
+        rows.clear()
+        return out
+
+    for (of,) in slices(batches):
+        for statement in of:
+            m = INSERT.match(statement)
+            listed = [c.strip(' "') for c in m[2].split(",")] if m[2] else None
+            for values in tuples(statement[m.end() :]):
+                rows.append(list(zip(listed or map(str, range(len(values))), values)))
+                if len(rows) >= ROWS:
+                    yield filled()
+    yield filled()
+
+
 def read_dump(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     """Each table of a dump with the types of its CREATE TABLE; names like _x_meta are skipped.
 
@@ -168,9 +199,9 @@ def read_dump(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     """
 
     def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for (values,) in slices(batches):
             names, kept = [], []
-            for statement in batch.column(0).to_pylist():
+            for statement in values:
                 if m := INSERT.match(statement):
                     names.append(m[1])
                     kept.append(statement)
@@ -186,15 +217,6 @@ def read_dump(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     found = spark.read.schema("value string, of string").parquet(kept)
     ddl = [r.value for r in found.where("of = 't'").select("value").collect()]
 
-    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for statement in batch.column(0).to_pylist():
-                m = INSERT.match(statement)
-                listed = [c.strip(' "') for c in m[2].split(",")] if m[2] else None
-                rows += [list(zip(listed or map(str, range(len(values))), values)) for values in tuples(statement[m.end() :])]
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.map_(pa.string(), pa.string()))], names=["row"])
-
     out = {}
     for t in tables_of(";\n".join(ddl) + ";"):
         if re.fullmatch(r"_.*_meta", t.name):

@@ -1,3 +1,4 @@
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -94,3 +95,23 @@ def test_many_rows_in_one_statement(spark, tmp_path):
     (tmp_path / "d" / "ddl").mkdir()
     (tmp_path / "d" / "ddl" / "a.sql").write_text(CREATE)
     assert sorted((r.id, r.note) for r in dumps.read_dump(spark, f"{tmp_path}/d/*")["orders"].collect()) == want
+
+
+def test_batches_of_parsed_rows_are_bounded():
+    """A batch of statements of a hundred rows each gives many batches of rows, and so does one long statement; none is lost."""
+    several = [f"INSERT INTO t (a, b) VALUES {', '.join(f'({i}, {j})' for j in range(100))};" for i in range(150)]
+    alone = [f"INSERT INTO t VALUES {', '.join(f'({j}, NULL)' for j in range(12_000))};"]
+    batches = (pa.RecordBatch.from_arrays([pa.array(part, pa.string())], names=["value"]) for part in (several, alone))
+    got = list(dumps.parse(batches))
+    assert max(b.num_rows for b in got) <= dumps.ROWS < 5_000
+    rows = [dict(r) for b in got for r in b.column(0).to_pylist()]
+    assert rows == [{"a": str(i), "b": str(j)} for i in range(150) for j in range(100)] + [{"0": str(j), "1": None} for j in range(12_000)]
+
+
+def test_more_statements_than_a_slice(spark, tmp_path):
+    n = 3 * dumps.STATEMENTS * 7 + 5
+    df = spark.range(n, numPartitions=1).selectExpr("id", "concat('it''s; ', id) AS s")
+    dumps.write_dump(df, "t", f"{tmp_path}/rows", rows=7)
+    (tmp_path / "ddl.sql").write_text("CREATE TABLE t (id bigint, s text);\n")
+    got = dumps.read_dump(spark, f"{tmp_path}/*")["t"].collect()
+    assert sorted(map(tuple, got)) == [(i, f"it's; {i}") for i in range(n)]
