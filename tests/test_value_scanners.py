@@ -1,3 +1,5 @@
+import random
+
 import duckdb
 import pytest
 
@@ -71,3 +73,19 @@ def test_a_scan_counts_values_in_texts_without_digits(spark):
     df = spark.createDataFrame([("car WDBUFGHJKLMNPRSTV is sold",), ("car 1HGCM82633A004352 is sold",), ("no car",), (None,)], "text string")
     got = {r.category: (r.hits, r.share, r.found) for r in privacy.scan(df, "text").collect()}
     assert got["vin"] == (2, 0.6667, True) and all(v == (0, 0.0, False) for k, v in got.items() if k != "vin")
+
+
+PIECES = (
+    "a.b", "@", "x.com", "123-45-6789", "555-123-4567", "+15551234567", "10.0.0.255", "256.", "Mr", "Smith", "John", "12", "Oak", "elm", "St", "hwy", "DE89", "370400440532013000", "1234-5678",
+    "021000021", "01/31/1999", "2001-12-30", "D123", "456", "C12345678", "https://", "MRN", "npi", "1234567890", "SID", "stu:", "AB-", "WDBUFGHJKLMNPRSTV", "1HGCM82633A004352", "Q", "-", "/", "é", "ß", "_", ".", "'", "\n",
+)
+
+
+def test_a_scan_counts_what_its_sql_counts_in_any_mixture(spark, tmp_path):
+    r = random.Random(3)
+    texts = [("".join(r.choice((piece, " ", piece + " ")) for piece in r.choices(PIECES, k=r.randint(1, 9))),) for _ in range(20_000)]
+    spark.createDataFrame([*texts, (None,)], "text string").write.parquet(f"{tmp_path}/documents.parquet")
+    sql = catalog.ORACLES["pii_value_scan"].replace("FROM documents", f"FROM '{tmp_path}/documents.parquet/*.parquet'")
+    got = {tuple(r) for r in catalog.QUERIES["pii_value_scan"](spark, str(tmp_path)).select("category", "hits", "share", "found", "action").collect()}
+    want = duckdb.sql(sql)
+    assert got == set(want.fetchall()) and all(n for _, n, *_ in got)
