@@ -9,6 +9,7 @@ into batches, nor on restarts.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -21,7 +22,9 @@ from datumloom.registry import query
 from datumloom.streaming.windows import plain, run, stream
 
 HOUR = 3_600_000
-OUTPUT = "entity long, step int, at timestamp, from_state string, to_state string, event string, effect string"
+#: What an entity's walk returns at a time, and a move in it.
+OUTPUT = "entity long, moves string"
+MOVE = "step int, at long, from_state string, to_state string, event string, effect string"
 
 
 @dataclass(frozen=True)
@@ -41,7 +44,12 @@ class Machine:
 
 
 class Walk(StatefulProcessor):
-    """One entity's walk. ``at`` is the state, how many steps led to it and the time of its last event; ``waiting`` the events to come."""
+    """One entity's walk. ``at`` is the state, how many steps led to it and the time of its last event; ``waiting`` the events to come.
+
+    Each call to the state and each frame costs far more than an event does, so the events
+    that come together are one row of ``waiting``, a JSON array, and the moves made together
+    are one row of the output.
+    """
 
     def __init__(self, machine: Machine):
         self.machine = machine
@@ -49,22 +57,27 @@ class Walk(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.at = handle.getValueState("at", "state string, step int, last long")
-        self.waiting = handle.getListState("waiting", "ts long, id long, event string")
+        self.waiting = handle.getListState("waiting", "events string")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        new = [(int(t), int(i), e) for df in rows for t, i, e in zip(df["ms"], df["event_id"], df["event_type"])]
-        if new:
-            self.waiting.appendList(new)
-            self._wake(min(t for t, _, _ in new))
-        yield pd.DataFrame(columns=["entity", "step", "at", "from_state", "to_state", "event", "effect"])
+        first = None
+        for df in rows:
+            events = f"[{','.join(df['what'])}]"
+            self.waiting.appendValue((events,))
+            ms = min(e["ms"] for e in json.loads(events))
+            first = ms if first is None else min(first, ms)
+        if first is not None:
+            self._wake(first)
+        yield from ()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         now, machine = timerValues.getCurrentWatermarkInMs(), self.machine
-        waiting = sorted(tuple(r) for r in self.waiting.get()) if self.waiting.exists() else []
-        due, later = [w for w in waiting if w[0] <= now], [w for w in waiting if w[0] > now]
-        if later:
-            self.waiting.put(later)
-        elif waiting:
+        waiting = [e for (events,) in self.waiting.get() for e in json.loads(events)]
+        waiting.sort(key=lambda e: (e["ms"], "id" not in e, e.get("id", 0)))
+        due, later = [e for e in waiting if e["ms"] <= now], [e for e in waiting if e["ms"] > now]
+        if due and later:
+            self.waiting.put([(json.dumps(later),)])
+        elif due:
             self.waiting.clear()
         known = self.at.get() if self.at.exists() else None
         state, step, last = (known[0], known[1], known[2]) if known else (machine.start, 0, None)
@@ -73,7 +86,7 @@ class Walk(StatefulProcessor):
         def move(to: str, ms: int, event: str | None) -> None:
             nonlocal state, step
             step += 1
-            out.append((key[0], step, pd.Timestamp(ms, unit="ms"), state, to, event, machine.effects.get((state, to))))
+            out.append({"step": step, "at": ms, "from_state": state, "to_state": to, "event": event, "effect": machine.effects.get((state, to))})
             state = to
 
         def wait_until(ms: int) -> None:
@@ -83,7 +96,8 @@ class Walk(StatefulProcessor):
                 last += machine.timeouts[state][0]
                 move(machine.timeouts[state][1], last, None)
 
-        for ms, _, event in due:
+        for e in due:
+            ms, event = e["ms"], e.get("event")
             wait_until(ms - 1)
             if (state, event) in machine.moves:
                 move(machine.moves[state, event], ms, event)
@@ -92,16 +106,17 @@ class Walk(StatefulProcessor):
         if last is not None and state in machine.final and not later and last + machine.forget_after <= now:
             self.at.clear()
         else:
-            if last is not None:
+            if last is not None and (due or out):
                 self.at.update((state, step, last))
             ends = [last + machine.timeouts[state][0]] if last is not None and state in machine.timeouts else []
             ends += [last + machine.forget_after] if last is not None and state in machine.final else []
-            self._wake(*(w[0] for w in later[:1]), *ends)
-        yield pd.DataFrame(out, columns=["entity", "step", "at", "from_state", "to_state", "event", "effect"])
+            self._wake(*(e["ms"] for e in later[:1]), *ends)
+        if out:
+            yield pd.DataFrame({"entity": [key[0]], "moves": [json.dumps(out)]})
 
     def _wake(self, *times: int) -> None:
-        """A timer at the earliest of these times; those set before stay, and find nothing to do."""
-        if times and min(times) not in {int(t) for t in self.handle.listTimers()}:
+        """A timer at the earliest of these times, once however often it is set; those set before stay, and find nothing to do."""
+        if times:
             self.handle.registerTimer(min(times))
 
     def close(self) -> None:
@@ -115,8 +130,11 @@ def walked(events: DataFrame, machine: Machine, entity: str = "user_id") -> Data
     entity. Events of one time follow their ids. Events without an entity or a time take
     no part; late ones are dropped by the watermark.
     """
-    rows = events.where(F.col(entity).isNotNull() & F.col("ts").isNotNull()).select(F.col(entity).cast("long").alias("entity"), "ts", F.unix_millis("ts").alias("ms"), "event_id", "event_type")
-    return rows.groupBy("entity").transformWithStateInPandas(Walk(machine), outputStructType=OUTPUT, outputMode="append", timeMode="eventTime")
+    what = F.to_json(F.struct(F.unix_millis("ts").alias("ms"), F.col("event_id").alias("id"), F.col("event_type").alias("event"))).alias("what")
+    rows = events.where(F.col(entity).isNotNull() & F.col("ts").isNotNull()).select(F.col(entity).cast("long").alias("entity"), "ts", what)
+    walks = rows.groupBy("entity").transformWithStateInPandas(Walk(machine), outputStructType=OUTPUT, outputMode="append", timeMode="eventTime")
+    moves = walks.select("entity", F.explode(F.from_json("moves", f"array<struct<{MOVE}>>")).alias("m")).select("entity", "m.*")
+    return moves.withColumn("at", F.timestamp_millis("at"))
 
 
 #: A customer's life: what events and silence do to it.

@@ -3,6 +3,7 @@
 import datetime as dt
 
 import duckdb
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -77,3 +78,57 @@ def test_idle_entities_are_forgotten(spark, tmp_path):
     assert moves == [(e, *m) for e in (1, 2) for m in ((1, "a", "b", "go", "rows:create"), (2, "b", "end", None, None))]
     left = spark.read.format("statestore").option("stateVarName", "at").load(str(tmp_path / "run" / "state"))
     assert left.count() == 0
+
+
+class Calls:
+    """A handle and its states, which keep the names of the calls alone."""
+
+    def __init__(self):
+        self.made = []
+
+    def getValueState(self, name, schema):  # noqa: N802
+        return self
+
+    getListState = getValueState  # noqa: N815
+
+    def __getattr__(self, name):
+        def call(*values):
+            self.made.append(name)
+
+        return call
+
+
+def test_calls_and_frames_do_not_grow_with_the_events_of_a_batch(spark):
+    def made(n):
+        handle, walk = Calls(), machines.Walk(machines.CUSTOMER)
+        walk.init(handle)
+        times = [1_704_067_200_000 + i for i in range(n)]
+        frame = pd.DataFrame({"entity": 1, "ms": times, "event_id": range(n), "event_type": "view", "what": [f'{{"ms":{t},"id":{i},"event":"view"}}' for i, t in enumerate(times)]})
+        frames = list(walk.handleInputRows((1,), iter([frame]), None))
+        return handle.made, len(frames)
+
+    assert made(1) == made(500) == (["appendValue", "registerTimer"], 0)
+
+
+def test_a_batch_is_one_row_of_waiting_events(spark, tmp_path):
+    base = dt.datetime(2024, 1, 1)
+    rows = [(i, base + dt.timedelta(minutes=i % 30), i % 3, "view", 0.0) for i in range(90)]
+    folder = tmp_path / "tables"
+    spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string, value double").coalesce(1).write.parquet(f"{folder}/events.parquet")
+    stream = windows.stream(spark, str(folder)).select("event_id", "ts", "user_id", "event_type")
+    windows.run(machines.walked(stream, machines.CUSTOMER), "append", str(tmp_path / "run"))
+    left = spark.read.format("statestore").option("stateVarName", "waiting").load(str(tmp_path / "run" / "state"))
+    assert sorted(r.entity for r in left.select("key.entity").collect()) == [0, 1, 2]
+
+
+def test_events_without_an_id_or_a_type(spark, tmp_path):
+    base = dt.datetime(2024, 1, 1)
+    rows = [
+        (5, base, 1, "signup", 0.0), (None, base, 1, "view", 0.0), (9, base, 1, None, 0.0), (6, base + dt.timedelta(hours=1), 1, "purchase", 0.0),
+        (2**53 + 1, base, 2, "view", 0.0), (2**53, base, 2, "signup", 0.0), (7, base + dt.timedelta(hours=3), 1, 'a "quoted" one', 0.0), (8, base + dt.timedelta(days=3), 3, "view", 0.0),
+    ]
+    folder = tmp_path / "tables"
+    spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string, value double").coalesce(1).write.parquet(f"{folder}/events.parquet")
+    stream = windows.stream(spark, str(folder)).select("event_id", "ts", "user_id", "event_type")
+    got = windows.run(machines.walked(stream, machines.CUSTOMER), "append", str(tmp_path / "run"))
+    assert found(got.withColumn("at", windows.plain("at"))) == expected(machines.machine_sql(machines.CUSTOMER), str(folder))
