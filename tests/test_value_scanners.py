@@ -89,3 +89,24 @@ def test_a_scan_counts_what_its_sql_counts_in_any_mixture(spark, tmp_path):
     got = {tuple(r) for r in catalog.QUERIES["pii_value_scan"](spark, str(tmp_path)).select("category", "hits", "share", "found", "action").collect()}
     want = duckdb.sql(sql)
     assert got == set(want.fetchall()) and all(n for _, n, *_ in got)
+
+
+def test_letters_without_case_fold_as_in_the_sql(spark, tmp_path):
+    long_s, kelvin = "\u017f", "\u212a"
+    found = [
+        (f"lives at 12 old {long_s}t now", "address"),
+        (f"lives at 12 {long_s}alt old {kelvin}ent Pi{kelvin}e now", "address"),
+        (f"lives at 12 oak {long_s}mall St{long_s} on", "address"),
+        (f"pupil x{long_s}tu 20231 waits", "student_id"),
+        (f"matter 24-{long_s}{kelvin}-01234 is open", "case_number"),
+    ]
+    # Before a long s there is a boundary after a word character only; dotted and dotless letters don't fold, nor do letters with case.
+    none = [f"pupil {long_s}tu 20231 waits", "matter 24-\u0130\u0131-01234 is open", f"car 1HGCM82633A00435{kelvin} is sold"]
+    texts = found + [(t, "") for t in none]
+    spark.createDataFrame([(i, t) for i, (t, _) in enumerate(texts)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    for name, columns in (("contains_pii", ("doc_id", "categories")), ("pii_value_scan", ("category", "hits", "share", "found", "action"))):
+        sql = catalog.ORACLES[name].replace("FROM documents", f"FROM '{tmp_path}/documents.parquet/*.parquet'")
+        got = {tuple(r) for r in catalog.QUERIES[name](spark, str(tmp_path)).select(*columns).collect()}
+        assert got == set(duckdb.sql(sql).fetchall())
+        if name == "contains_pii":
+            assert got == {(i, k and f"{k},") for i, (_, k) in enumerate(texts)}
